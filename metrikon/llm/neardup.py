@@ -9,6 +9,9 @@ distance of at most t = (a + b)(1 - J)/(1 + J). The pigeonhole runs over two sec
 * frequent section: in that case at most t - r_a - r_b errors are left for it. Cut into one chunk more than
   that, it has an error-free chunk, whose value is the key.
 
+Pairs of two texts with many rare words and pairs with a text of few meet in two joins; as texts of few rare
+words are few, their keys are broadcast after a check of their number, and shuffled beyond it.
+
 Texts with at least ``rare_at_least`` rare words and those with fewer enumerate their own allowance of
 errors, so the first have few, long chunks. All pairs under the distance share a key: none is lost. A folded
 64-bit signature (its distance never exceeds the full one) rejects most candidates in the join, and the
@@ -97,7 +100,7 @@ def chunk_keys(sets: DataFrame, frequent: list[int], longest: int, num: int, den
             np.bitwise_xor.at(sig, row, np.uint64(1) << (_mixed(bits, 2) % np.uint64(64)))
             r = np.bincount(row[~often], minlength=len(n))
             own = np.array([bisect.bisect_right(ends, int(x)) - 1 for x in n])
-            parts = [(_mixed(bits[~often], 3), row[~often], np.zeros(len(n), dtype=bool), False)]
+            parts = [(_mixed(bits[~often], 3), row[~often], np.zeros(len(n), dtype=bool), True)]
             for k in (own, own - 1):
                 ok = k >= 0
                 t = np.where(ok, tops[np.maximum(k, 0)], -1)
@@ -124,7 +127,7 @@ def chunk_keys(sets: DataFrame, frequent: list[int], longest: int, num: int, den
                             pa.array(n[who].astype(np.int32)),
                             pa.array(sig.view(np.int64)[who]),
                             pa.array(few[who]),
-                            pa.array(np.full(len(who), plain or few is parts[0][2])),
+                            pa.array(np.full(len(who), plain)),
                         ],
                         names=["key", "sid", "n", "sig", "few", "plain"],
                     )
@@ -132,7 +135,7 @@ def chunk_keys(sets: DataFrame, frequent: list[int], longest: int, num: int, den
     return sets.select("sid", "n", "words").mapInArrow(emit, KEYS)
 
 
-def similar_sets(sets: DataFrame, num: int = 4, den: int = 5, rare_share: float = 0.001, rare_at_least: int = 4, rare_floor: int = 20) -> DataFrame:
+def similar_sets(sets: DataFrame, num: int = 4, den: int = 5, rare_share: float = 0.001, rare_at_least: int = 4, rare_floor: int = 20, broadcast_keys: int = 250_000) -> DataFrame:
     """(sid_a, sid_b, shared, n_a, n_b) of all pairs of different word sets with Jaccard >= num/den.
 
     ``sets`` has one row a set and is best staged, for it is read several times. Frequent is a word in more
@@ -146,13 +149,14 @@ def similar_sets(sets: DataFrame, num: int = 4, den: int = 5, rare_share: float
     keys = chunk_keys(sets, frequent, longest, num, den, rare_at_least)
     a, b = keys.alias("a"), keys.alias("b")
     total = F.col("a.n") + F.col("b.n")
-    near = (
-        (F.col("a.sid") < F.col("b.sid"))
-        & (F.col("a.plain") | F.col("a.few") | F.col("b.few"))
-        & (F.bit_count(F.col("a.sig").bitwiseXOR(F.col("b.sig"))) * (den + num) <= total * (den - num))
-        & (F.least("a.n", "b.n") * den >= F.greatest("a.n", "b.n") * num)
-    )
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & near).select(F.col("a.sid").alias("sid_a"), F.col("b.sid").alias("sid_b")).distinct()
+    near = (F.bit_count(F.col("a.sig").bitwiseXOR(F.col("b.sig"))) * (den + num) <= total * (den - num)) & (F.least("a.n", "b.n") * den >= F.greatest("a.n", "b.n") * num)
+    met = (F.col("a.key") == F.col("b.key")) & near
+    many = a.where("plain").join(b.where("plain"), met & (F.col("a.sid") < F.col("b.sid")))
+    scarce = keys.where("few AND NOT plain")
+    small = scarce.count() <= broadcast_keys
+    few = b.where("NOT plain").join((F.broadcast(scarce) if small else scarce).alias("a"), met & (F.col("a.sid") != F.col("b.sid")))
+    ends = lambda d: d.select(F.least("a.sid", "b.sid").alias("sid_a"), F.greatest("a.sid", "b.sid").alias("sid_b"))
+    pairs = ends(many).unionByName(ends(few)).distinct()
     left = sets.select(F.col("sid").alias("sid_a"), F.col("n").alias("n_a"), F.col("words").alias("words_a"))
     right = sets.select(F.col("sid").alias("sid_b"), F.col("n").alias("n_b"), F.col("words").alias("words_b"))
     both = pairs.join(left, "sid_a").join(right, "sid_b").withColumn("shared", F.size(F.array_intersect("words_a", "words_b")))
