@@ -42,10 +42,10 @@ def quotas(targets: DataFrame, counts: DataFrame) -> DataFrame:
     A target needs max(min_rows, size * target_permille div 1000) rows; null numbers count as 0. A plan whose
     needs exceed its size keeps them: minima go before the size. Repeated targets count once.
     """
-    total = counts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"))
+    total = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     t = targets.select("plan_id", "category", zero("target_permille").alias("target_permille"), zero("min_rows").alias("min_rows"), zero("sample_permille").alias("sample_permille")).distinct()
-    t = t.join(F.broadcast(total)).withColumn("size", F.expr("n * sample_permille div 1000"))  # total is one row
+    t = t.withColumn("n", F.lit(total).cast("long")).withColumn("size", F.expr("n * sample_permille div 1000"))
     t = t.join(F.broadcast(counts), "category", "left").withColumn("available", F.coalesce("count", F.lit(0)))
     t = t.withColumn("needed", F.greatest("min_rows", F.expr("size * target_permille div 1000")))
     return t.select("plan_id", "category", "size", "needed", "available", F.least("needed", "available").alias("quota"))
