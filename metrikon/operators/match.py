@@ -18,9 +18,9 @@ def norm_ids(a: Column) -> Column:
 
 
 def ranked_lists(run: DataFrame, max_k: int | None = None) -> DataFrame:
-    """(query_id, retrieved): doc ids in rank order. A cutoff goes before the shuffle and bounds the arrays."""
+    """(query_id, retrieved): doc ids in rank order, a row delivered twice once. A cutoff goes before the shuffle and bounds the arrays."""
     rows = run if max_k is None else run.where(F.col("rank") <= max_k)
-    pairs = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))).alias("r"))
+    pairs = rows.groupBy("query_id").agg(F.array_sort(F.collect_set(F.struct("rank", "doc_id"))).alias("r"))
     return pairs.select("query_id", F.col("r.doc_id").alias("retrieved"))
 
 
