@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metrikon import catalogue_sql as s
+from metrikon import catalogue_text
 from metrikon.functions import metrics as m
 from metrikon.functions import text
 from metrikon.operators import judges, match, references, retrieve
@@ -436,3 +437,7 @@ def evaluate_mixed(spark: SparkSession, d: str) -> DataFrame:
     run = read(spark, d, "retrieval_results").select("run_id", F.concat_ws("|", "run_id", "query_id").alias("query_id"), "rank", "doc_id", "metadata").dropDuplicates(["query_id", "rank"])
     labelled = evaluate.label(_judged_queries(spark, d), run, _corpus(spark, d), max_k=10)
     return m.summary(labelled, [m.Recall(10), m.NDCG(10)]).withColumn("score", _six(F.col("score")))
+
+
+QUERIES.update(catalogue_text.QUERIES)
+SQL.update(catalogue_text.SQL)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metrikon.functions.text import collapse, falsy_or, strip, uuid5, word_count, words
+from metrikon.functions.text import collapse, falsy_or, let, strip, uuid5, word_count, words
 from metrikon.operators.order import numbered
 from metrikon.schema import ValidationError
 
@@ -70,15 +70,16 @@ def pack(parts: Column, limit: int, glue: str) -> Column:
     """Consecutive parts joined by ``glue`` as long as a group has at most ``limit`` words; a longer part stands alone."""
     zero = F.struct(F.lit(None).cast("string").alias("cur"), F.lit(0).alias("n"), empty_texts().alias("out"))
 
-    def step(s: Column, p: Column) -> Column:
-        n = word_count(p)
+    def step(s: Column, x: Column) -> Column:
+        p, n = x["p"], x["n"]
         fits = s["cur"].isNull() | (s["n"] + n <= limit)
         cur = F.when(s["cur"].isNull(), p).when(fits, F.concat(s["cur"], F.lit(glue), p)).otherwise(p)
         total = F.when(s["cur"].isNotNull() & fits, s["n"] + n).otherwise(n)
         out = F.when(fits, s["out"]).otherwise(F.array_append(s["out"], s["cur"]))
         return F.struct(cur.alias("cur"), total.alias("n"), out.alias("out"))
 
-    return F.aggregate(parts, zero, step, lambda s: F.when(s["cur"].isNull(), s["out"]).otherwise(F.array_append(s["out"], s["cur"])))
+    counted = F.transform(parts, lambda p: F.struct(p.alias("p"), word_count(p).alias("n")))
+    return F.aggregate(counted, zero, step, lambda s: F.when(s["cur"].isNull(), s["out"]).otherwise(F.array_append(s["out"], s["cur"])))
 
 
 def pieces_of(text: Column, pattern: str) -> Column:
@@ -87,9 +88,11 @@ def pieces_of(text: Column, pattern: str) -> Column:
 
 def windows(text: Column, size: int, overlap: int) -> Column:
     """Word windows of ``size``, each ``size - overlap`` words further (at least one); the last may lie within the one before."""
-    t = words(text)
-    starts = F.when(F.size(t) > 0, F.sequence(F.lit(1), F.size(t), F.lit(max(size - overlap, 1)))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(t, i, F.lit(size)), " "))
+    def cut(t: Column) -> Column:
+        starts = F.when(F.size(t) > 0, F.sequence(F.lit(1), F.size(t), F.lit(max(size - overlap, 1)))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(t, i, F.lit(size)), " "))
+
+    return let(words(text), cut)
 
 
 def sentences(text: Column, config: ChunkingConfig) -> Column:
@@ -104,12 +107,16 @@ def overlapped(chunks: Column, overlap: int) -> Column:
     if overlap == 0:
         return chunks
 
-    def add(c: Column, i: Column) -> Column:
-        before = words(F.get(chunks, i - 1))
-        tail = F.array_join(F.slice(before, F.greatest(F.lit(1), F.size(before) - overlap + 1), F.lit(overlap)), " ")
-        return F.when((i > 0) & (tail != "") & ~F.startswith(c, tail), F.concat(tail, F.lit("\n\n"), c)).otherwise(c)
+    def tail(c: Column) -> Column:
+        return let(words(c), lambda w: F.array_join(F.slice(w, F.greatest(F.lit(1), F.size(w) - overlap + 1), F.lit(overlap)), " "))
+
+    def joined(c: Column, before: Column) -> Column:
+        return F.when((before != "") & ~F.startswith(c, before), F.concat(before, F.lit("\n\n"), c)).otherwise(c)
+
+    def add(every: Column) -> Column:
+        return F.transform(every, lambda c, i: F.when(i > 0, let(tail(F.get(every, i - 1)), lambda before: joined(c, before))).otherwise(c))
 
-    return F.transform(chunks, add)
+    return let(chunks, add)
 
 
 def section_chunks(body: Column, config: ChunkingConfig) -> Column:
@@ -163,7 +170,8 @@ def merge_short(chunks: DataFrame, config: ChunkingConfig | None = None, order:
     same = F.coalesce((F.col("source") == F.col("s0")) & (F.col("heading_path") == F.col("p0")), F.lit(False))
     runs = numbered(linked.withColumn("cut", F.when(same & (F.col("n") < config.min_tokens), 0).otherwise(1)).drop("s0", "p0"), ["at"], "run", "cut")
     one = F.struct("at", "n", *[c for c in chunks.columns])
-    groups = runs.groupBy("run").agg(F.array_sort(F.collect_list(one)).alias("c"))
+    by_place = lambda a, b: (a["at"] - b["at"]).cast("int")
+    groups = runs.groupBy("run").agg(F.array_sort(F.collect_list(one), by_place).alias("c"))
     kind = groups.schema["c"].dataType.simpleString()
 
     def step(out: Column, c: Column) -> Column:

@@ -10,15 +10,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metrikon.functions.text import NEGATIONS, STOPWORDS, content_tokens, literal_texts, norm, tokens
+from metrikon.functions.text import NEGATIONS, STOPWORDS, content_tokens, let, literal_texts, norm, tokens
 from metrikon.schema import ValidationError, require_positive
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` evaluated once for each row."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 class Judge(Protocol):
     """A judge adds the boolean column ``relevant`` to contexts (query, expected_text, retrieved_text)."""
 

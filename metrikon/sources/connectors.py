@@ -27,7 +27,7 @@ def field(metadata: Column, key: str) -> Column:
 
 def required(doc_id: Column) -> Column:
     """The id; a hit without one is an error."""
-    return F.when(falsy_or(doc_id).isNotNull(), doc_id).otherwise(F.raise_error(F.lit("a hit has no id")).cast("string"))
+    return F.when(doc_id.isNotNull(), doc_id).otherwise(F.raise_error(F.lit("a hit has no id")).cast("string"))
 
 
 @dataclass(frozen=True)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metrikon.functions.text import distinct_texts, falsy_or, strip
-from metrikon.schema import require_file
+from metrikon.schema import ValidationError
 
 _ITEMS = "queries array<variant>, documents array<variant>"
 
@@ -30,9 +30,13 @@ class EvaluationDataset:
         return from_csv(spark, path)
 
 
-def _local(path: str | os.PathLike) -> str:
+def _existing(spark: SparkSession, path: str | os.PathLike) -> str:
+    """The path, checked in the file system it names."""
     text = os.fspath(path)
-    return text if "://" in text else "file://" + os.path.abspath(require_file(text))
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(text if "://" in text else os.path.abspath(text))
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        raise ValidationError(f"no such file: {text}")
+    return p.toString()
 
 
 def _fail(message: str, *more: Column) -> Column:
@@ -65,7 +69,7 @@ def parse_query(item: Column, pos: Column) -> list[Column]:
 
 def from_json(spark: SparkSession, path: str | os.PathLike) -> EvaluationDataset:
     """One JSON object with the lists ``queries`` and ``documents``, both empty by default."""
-    raw = spark.read.text(_local(path), wholetext=True)
+    raw = spark.read.text(_existing(spark, path), wholetext=True)
     root = raw.select(F.parse_json("value").alias("v"))
     lists = root.select(*(F.try_variant_get("v", f"$.{c}", "array<variant>").alias(c) for c in ("queries", "documents")))
     pos = F.col("pos")
@@ -104,7 +108,7 @@ def from_csv(spark: SparkSession, path: str | os.PathLike) -> EvaluationDataset:
 
     Rows are numbered in file order, which takes the file in one partition: it is a hand-made list of queries.
     """
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(_local(path)).coalesce(1)
+    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(_existing(spark, path)).coalesce(1)
     has = lambda c: F.col(c) if c in raw.columns else F.lit(None).cast("string")
     cols = [has(c).alias(c) for c in ("query_id", "id", "query_text", "query", "expected_doc_ids", "relevant_doc_ids", "expected_answers")]
     rows = raw.select(*cols, F.monotonically_increasing_id().alias("query_pos"))
