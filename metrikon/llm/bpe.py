@@ -126,7 +126,7 @@ def frequent_words(texts: DataFrame, text_col: str, ranks: tuple[Column, int], k
     words = texts.select(F.explode(F.transform(_words(F.col(text_col)), as_bytes)).alias("w")).where(F.length("w") > 1)
     counted = words.groupBy("w").count().where(F.col("count") >= least).where(lookup(ranks, F.col("w")).isNull())
     top = counted.orderBy(F.desc("count"), "w").limit(kept_words)
-    return {r["w"]: r["ids"] for r in top.repartition(F.col("w")).select("w", fold_merges(F.col("w"), ranks).alias("ids")).collect()}
+    return {r["w"]: r["ids"] for r in top.repartition(F.col("w")).select("w", _let(ranks[0], lambda t: fold_merges(F.col("w"), (t, ranks[1]))).alias("ids")).collect()}
 
 
 def encode(df: DataFrame, id_col: str, text_col: str, vocabulary: str = VOCABULARY, kept_words: int = 8192, least: int = 16) -> DataFrame:
@@ -143,16 +143,21 @@ def encode(df: DataFrame, id_col: str, text_col: str, vocabulary: str = VOCABULA
     often = frequent_words(short, "text", ranks, kept_words, least)
     known = literal_map(often, "array<int>") if often else None
 
-    def of_word(word: Column) -> Column:
+    # The tables are bound once, so that the plan holds one literal of each.
+    tables = F.struct(ranks[0].alias("ranks"), *([known[0].alias("often")] if known else []))
+
+    def of_text(t: Column) -> Column:
+        pieces = (t["ranks"], ranks[1])
+
         def of_bytes(raw: Column) -> Column:
-            whole = lookup(ranks, raw)
-            seen = [lookup(known, raw)] if known else []
-            return F.coalesce(F.when(whole.isNotNull(), F.array(whole)), *seen, fold_merges(raw, ranks))
+            whole = _let(lookup(pieces, raw), lambda i: F.when(i.isNotNull(), F.array(i)))
+            frequent = [lookup((t["often"], known[1]), raw)] if known else []
+            return F.coalesce(whole, *frequent, fold_merges(raw, pieces))
 
-        return _let(as_bytes(word), of_bytes)
+        return F.flatten(F.transform(_words(F.col("text")), lambda w: _let(as_bytes(w), of_bytes)))
 
     none = F.array().cast("array<int>")
-    folded = short.select("id", F.coalesce(F.flatten(F.transform(_words(F.col("text")), of_word)), none).alias("ids"))
+    folded = short.select("id", F.coalesce(_let(tables, of_text), none).alias("ids"))
     shared = df.sparkSession.sparkContext.broadcast(by_piece)
     out = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
