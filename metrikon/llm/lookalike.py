@@ -50,6 +50,8 @@ _BACK = {name: {ord(b): a for a, b in reversed(list(zip(*pair, strict=True)))} f
 _EARLY = {ord(a): b for foreign, latin in (LATIN, ("ӏӀ", "lI"), ("ον", "ov")) for a, b in zip(foreign, latin, strict=True)}
 _LATE = {ord(a): b for foreign, latin in (CYRILLIC_CASELESS, GREEK_CASELESS) for a, b in zip(foreign, latin, strict=True)}
 _ALNUM = re.compile(r"[^\W_]+")
+#: Any character for which comparison needs more than lower case: outside of Latin, punctuation, arrows to dingbats, Han and emoji.
+_FOREIGN = re.compile("[^\x00-\xac\xae-\u0130\u0132-\u024f\u2010-\u2029\u202f-\u205f\u2190-\u27ff\u3001-\u3098\u309b-\u9fff\U0001f000-\U0001faff]")
 
 
 def base_form(text: str) -> str:
@@ -254,7 +256,7 @@ def compared_words(text: str | None) -> list[str]:
     """Words for comparison across scripts and cases: look-alike letters, case, marks and spacing set aside."""
     if not text:
         return []
-    if text.isascii():
+    if text.isascii() or not _FOREIGN.search(text):
         return _ALNUM.findall(text.lower())
     form = base_form(text).translate(_EARLY).lower()
     return _ALNUM.findall(unicodedata.normalize("NFC", unicodedata.normalize("NFD", form).translate(_LATE)))
