@@ -163,11 +163,17 @@ def similar_sets(sets: DataFrame, num: int = 4, den: int = 5, rare_share: float
     return both.where((F.col("n_a") + F.col("n_b") - F.col("shared")) * num <= F.col("shared") * den).select("sid_a", "sid_b", "shared", "n_a", "n_b")
 
 
-def staged_sets(df: DataFrame, id_col: str, text_col: str, label: str) -> tuple[DataFrame, DataFrame]:
-    """(members (id, sid), sets (sid, n, words)), both staged; exact copies of a word set share one row of sets."""
-    rows = word_sets(df, id_col, text_col)
-    grouped = staged(rows.groupBy("sid").agg(F.first("n").alias("n"), F.first("words").alias("words"), F.collect_set("id").alias("ids")), label)
-    return grouped.select(F.explode("ids").alias("id"), "sid"), grouped.select("sid", "n", "words")
+def staged_sets(df: DataFrame, id_col: str, text_col: str, label: str, broadcast_rows: int = 100_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members (id, sid), sets (sid, n, words), copied (sid, rep)): distinct rows, one row a word set, sets of several ids.
+
+    No group of copies is ever gathered: the row of the smallest id stands for its set, and the others are left
+    out by a join with ``copied``, broadcast after a check of its size and otherwise done once.
+    """
+    rows = staged(word_sets(df, id_col, text_col).dropDuplicates(["id", "sid"]), label)
+    copied = staged(rows.groupBy("sid").agg(F.count("*").alias("c"), F.min("id").alias("rep")).where("c > 1").select("sid", "rep"), f"{label}-copied")
+    few = copied.count() <= broadcast_rows
+    sets = rows.join(F.broadcast(copied) if few else copied, "sid", "left").where("rep IS NULL OR id = rep").select("sid", "n", "words")
+    return rows.select("id", "sid"), sets if few else staged(sets, f"{label}-sets"), copied
 
 
 def near_duplicates(df: DataFrame, record_table: str, id_col: str, text_col: str, num: int = 4, den: int = 5) -> DataFrame:
@@ -177,12 +183,13 @@ def near_duplicates(df: DataFrame, record_table: str, id_col: str, text_col: str
     and wordless texts take no part; an id delivered twice with its text counts once (with two texts it may be
     paired by either); further columns are ignored; an empty table gives no row.
     """
-    members, sets = staged_sets(df, id_col, text_col, f"sets-{record_table}")
+    members, sets, copied = staged_sets(df, id_col, text_col, f"sets-{record_table}")
     linked = similar_sets(sets, num, den).select("sid_a", "sid_b")
     a = members.select(F.col("id").alias("x"), F.col("sid").alias("sid_a"))
     b = members.select(F.col("id").alias("y"), F.col("sid").alias("sid_b"))
     across = linked.join(a, "sid_a").join(b, "sid_b").where("x <> y")
-    same = a.join(b.withColumnRenamed("sid_b", "sid_a"), "sid_a").where("x < y")
+    several = copied.select(F.col("sid").alias("sid_a"))
+    same = a.join(several, "sid_a", "left_semi").join(b.withColumnRenamed("sid_b", "sid_a"), "sid_a").where("x < y")
     pairs = across.select("x", "y").unionByName(same.select("x", "y"))
     return pairs.select(F.lit(record_table).alias("record_table"), F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
@@ -193,7 +200,7 @@ def near_duplicate_classes(df: DataFrame, id_col: str, text_col: str, num: int =
     class_id is the smallest id with the same word set, copies their number, links the number of other
     classes at least num/den similar. Nulls, empty tables and repeated rows as in ``near_duplicates``.
     """
-    members, sets = staged_sets(df, id_col, text_col, "sets-classes")
+    members, sets, _ = staged_sets(df, id_col, text_col, "sets-classes")
     linked = similar_sets(sets, num, den)
     links = linked.select(F.explode(F.array("sid_a", "sid_b")).alias("sid")).groupBy("sid").agg(F.count("*").alias("links"))
     classes = members.groupBy("sid").agg(F.min("id").alias("class_id"), F.count("*").alias("copies"))

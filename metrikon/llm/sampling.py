@@ -36,12 +36,18 @@ def final_counts(cells: DataFrame) -> dict[str, int]:
     return {r["category"]: r["count"] for r in cells.groupBy("category").count().collect()}
 
 
+#: Targets are a hand-made table and are broadcast; more of them are an error.
+MOST_TARGETS = 10_000
+
+
 def quotas(targets: DataFrame, counts: DataFrame) -> DataFrame:
     """Targets with plan size, rows needed, rows available and the feasible quota; integer division throughout.
 
     A target needs max(min_rows, size * target_permille div 1000) rows; null numbers count as 0. A plan whose
     needs exceed its size keeps them: minima go before the size. Repeated targets count once.
     """
+    if targets.limit(MOST_TARGETS + 1).count() > MOST_TARGETS:
+        raise ValueError(f"more than {MOST_TARGETS} targets")
     total = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     t = targets.select("plan_id", "category", zero("target_permille").alias("target_permille"), zero("min_rows").alias("min_rows"), zero("sample_permille").alias("sample_permille")).distinct()

@@ -50,7 +50,7 @@ def test_both_joins(spark, keys):
     """Frequent words only, few rare ones: the pairs come from the frequent section, broadcast or not."""
     rows = corpus(150, 9, 50, 60, 5)
     df = spark.createDataFrame(rows, "id string, text string")
-    members, sets = neardup.staged_sets(df, "id", "text", "test")
+    members, sets, _ = neardup.staged_sets(df, "id", "text", "test", broadcast_rows=keys)
     found = neardup.similar_sets(sets, rare_floor=1, rare_share=0.0, rare_at_least=3, broadcast_keys=keys)
     by_set = {}
     for r in members.collect():
