@@ -64,8 +64,8 @@ def literal_texts(values: Iterable[str]) -> Column:
 
 def content_tokens(c: Column, stopwords: Iterable[str] = STOPWORDS) -> Column:
     """Tokens without stopwords, in order, repeated ones kept."""
-    stop = literal_texts(stopwords)
-    return F.filter(tokens(c), lambda t: ~F.array_contains(stop, t))
+    stop = list(stopwords)
+    return F.filter(tokens(c), lambda t: ~t.isin(stop)) if stop else tokens(c)
 
 
 def distinct_texts(a: Column) -> Column:
