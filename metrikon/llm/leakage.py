@@ -1,22 +1,21 @@
-"""Passages of test items inside a training corpus: rare n-gram seeds, then Smith-Waterman alignment.
+"""Passages of test items inside a training corpus: n-gram seeds, then Smith-Waterman alignment.
 
-Every window of ``passage`` words of an item contributes its rarest n-gram as a seed, rarity counted over the
-whole corpus, so each copied passage holds a seed. Documents meet items on the seeds only. Around each meeting
-the two word sequences are aligned locally: the score finds edited copies as well, the longest unbroken run
-tells the exact ones.
+Documents meet items on seeds only. For exact passages every window of ``passage`` words of an item that is
+wholly present contributes its rarest n-gram, rarity counted over the whole corpus, so each copied passage holds
+a seed. Edited copies differ in what they keep, so for them every n-gram is a seed, however frequent. Around each
+meeting the two word sequences are aligned locally: the score finds edited copies as well, the longest unbroken
+run tells the exact ones.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,6 +80,47 @@ def smith_waterman(doc: list[str], item: list[str]) -> tuple[int, int]:
     return score, longest
 
 
+def smith_waterman_many(pairs: list[tuple[list[str], list[str]]], cells: int = 32_768) -> list[tuple[int, int]]:
+    """``smith_waterman`` of each (document, item), pairs of like size at once in blocks of about ``cells`` words.
+
+    Shorter texts are filled up with words that match nothing, which can only lower a score behind their end.
+    """
+    ids: dict[str, int] = {}
+    coded = [tuple(np.fromiter((ids.setdefault(w, len(ids)) for w in words), dtype=np.int32, count=len(words)) for words in p) for p in pairs]
+    order = sorted(range(len(pairs)), key=lambda k: (len(coded[k][0]), len(coded[k][1])))
+    out = [(0, 0)] * len(pairs)
+    start = 0
+    while start < len(order):
+        stop = start + 1
+        while stop < len(order) and (stop + 1 - start) * (len(coded[order[stop]][0]) + 1) <= cells:
+            stop += 1
+        block = order[start:stop]
+        start = stop
+        long, tall = (max(len(coded[k][side]) for k in block) for side in (0, 1))
+        kind = np.int16 if long + MATCH * tall < 32_000 else np.int32
+        d = np.full((len(block), long), -1, dtype=np.int32)
+        items = np.full((tall, len(block), 1), -2, dtype=np.int32)
+        for at, k in enumerate(block):
+            doc, item = coded[k]
+            d[at, : len(doc)], items[: len(item), at, 0] = doc, item
+        row, run = (np.zeros((len(block), long + 1), dtype=kind) for _ in range(2))
+        score, longest = (np.zeros((len(block), long + 1), dtype=kind) for _ in range(2))
+        along = np.arange(long + 1, dtype=kind) * kind(-GAP)
+        for words in items:
+            same = d == words
+            new = np.zeros_like(row)
+            np.maximum(row[:, :-1] + np.where(same, kind(MATCH), kind(MISMATCH)), row[:, 1:] + kind(GAP), out=new[:, 1:])
+            row = np.maximum.accumulate(np.maximum(new, 0) + along, axis=1) - along
+            step = np.zeros_like(run)
+            np.multiply(run[:, :-1] + kind(1), same, out=step[:, 1:])
+            run = step
+            np.maximum(score, row, out=score)
+            np.maximum(longest, run, out=longest)
+        for k, s, n in zip(block, score.max(axis=1).tolist(), longest.max(axis=1).tolist(), strict=True):
+            out[k] = (s, n)
+    return out
+
+
 def _grams(df: DataFrame, id_col: str, text_col: str, n: int, name: str, only: np.ndarray | None = None) -> DataFrame:
     """(name, pos, h) of every n-gram of every text, or of those in the sorted array ``only``."""
     id_type = df.schema[id_col].dataType
@@ -99,14 +139,14 @@ def _grams(df: DataFrame, id_col: str, text_col: str, n: int, name: str, only: n
     return rows.mapInArrow(run, schema)
 
 
-def leaks(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", n: int = 6, passage: int = 12, edited: bool = True, rare_share: float = 2e-5, broadcast_rows: int = 2_000_000) -> DataFrame:
-    """(doc_id, item_id, score, longest_run, item_words): documents that meet an item on a rare seed.
+def leaks(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", n: int = 6, passage: int = 12, edited: bool = True, broadcast_rows: int = 2_000_000) -> DataFrame:
+    """(doc_id, item_id, score, longest_run, item_words): documents that meet an item on a seed.
 
     ``longest_run`` >= ``passage`` holds exactly for the pairs that share so many consecutive words, in the
     comparison form of ``lookalike.compared_words``; edited copies have shorter runs but a high score (2 for a
-    matching word, -1 for each edit). With ``edited`` a window that is nowhere complete gives its rarest n-gram
-    too, if that stands in at most ``rare_share`` of the documents (or in three); without it only windows whose
-    n-grams all occur give seeds, which is enough for the exact passages. Null and empty texts and ids, and items of fewer than ``passage`` words,
+    matching word, -1 for each edit). With ``edited`` every n-gram is a seed, so each document that shares ``n``
+    consecutive words with an item gives a row and the score tells phrases from copies; without it only windows
+    whose n-grams all occur give seeds, which is enough for the exact passages. Null and empty texts and ids, and items of fewer than ``passage`` words,
     give no row; an id under two texts gives its best row; columns of other names are ignored.
     """
     test = staged(_grams(items, item_col, text_col, n, "item_id"), "item-grams")
@@ -116,33 +156,31 @@ def leaks(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", item_col:
     else:
         found = _grams(docs, doc_col, text_col, n, "doc_id").join(wanted, "h")
     hits = staged(found.select("doc_id", "pos", "h"), "hits")
-    rarity = hits.groupBy("h").count()
-    weighed = test.join(rarity, "h", "left").select("item_id", "pos", "h", F.coalesce("count", F.lit(0)).alias("seen"))
     width = passage - n + 1
-    ordered = weighed.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("pos", "seen", "h"))).alias("g")).where(F.size("g") >= width)
-    most = max(3, math.floor(rare_share * docs.count())) if edited else 0
+    if edited:
+        # The rarest n-gram of a window need not be the one that another copy of the window has kept.
+        seeds = test.withColumn("size", F.count("*").over(Window.partitionBy("item_id"))).where(F.col("size") >= width).select("item_id", "h", F.col("pos").alias("item_pos"))
+    else:
+        weighed = test.join(hits.groupBy("h").count(), "h", "left").select("item_id", "pos", "h", F.coalesce("count", F.lit(0)).alias("seen"))
+        ordered = weighed.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("pos", "seen", "h"))).alias("g")).where(F.size("g") >= width)
 
-    def rarest(i: Column) -> Column:
-        window = F.transform(F.slice("g", i, width), lambda x: F.struct(x["seen"].alias("seen"), x["pos"].alias("pos"), x["h"].alias("h")))
-        first = F.array_min(window)
-        if not edited:
+        def rarest(i: Column) -> Column:
+            first = F.array_min(F.transform(F.slice("g", i, width), lambda x: F.struct(x["seen"].alias("seen"), x["pos"].alias("pos"), x["h"].alias("h"))))
             return F.when(first["seen"] > 0, first)
-        there = F.array_min(F.filter(window, lambda x: x["seen"] > 0))
-        return F.when((first["seen"] > 0) | (there["seen"] <= most), there)
 
-    windows = F.transform(F.sequence(F.lit(1), F.size("g") - width + 1), rarest)
-    seeds = ordered.select("item_id", F.explode(F.array_distinct(windows)).alias("s")).where("s IS NOT NULL").select("item_id", F.col("s.h").alias("h"), F.col("s.pos").alias("item_pos"))
+        windows = F.transform(F.sequence(F.lit(1), F.size("g") - width + 1), rarest)
+        seeds = ordered.select("item_id", F.explode(F.array_distinct(windows)).alias("s")).where("s IS NOT NULL").select("item_id", F.col("s.h").alias("h"), F.col("s.pos").alias("item_pos"))
     meetings = hits.join(seeds, "h").groupBy("doc_id", "item_id").agg(F.collect_set(F.col("pos") - F.col("item_pos")).alias("shifts"))
     texts = items.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("item"))
     both = meetings.join(docs.select(F.col(doc_col).alias("doc_id"), F.col(text_col).alias("doc")), "doc_id").join(texts, "item_id")
     out = T.StructType([meetings.schema["doc_id"], meetings.schema["item_id"], *(T.StructField(c, T.IntegerType()) for c in ("score", "longest_run", "item_words"))])
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words_of = lru_cache(maxsize=4096)(compared_words)
         for b in batches:
-            rows = []
-            for d, i, doc, item, shifts in zip(b["doc_id"], b["item_id"], b["doc"], b["item"], b["shifts"], strict=True):
-                dw, iw = words_of(doc), words_of(item)
+            words = {t: compared_words(t) for c in ("doc", "item") for t in set(b[c])}
+            pairs, of = [], []
+            for k, (doc, item, shifts) in enumerate(zip(b["doc"], b["item"], b["shifts"], strict=True)):
+                dw, iw = words[doc], words[item]
                 spans: list[list[int]] = []
                 for s in sorted(int(x) for x in shifts):
                     a, z = max(0, s - 16), min(len(dw), s + len(iw) + 16)
@@ -150,10 +188,15 @@ def leaks(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", item_col:
                         spans[-1][1] = max(spans[-1][1], z)
                     else:
                         spans.append([a, z])
-                found = [smith_waterman(dw[a:z], iw) for a, z in spans if z > a]
-                if found:
-                    rows.append((d, i, max(x[0] for x in found), max(x[1] for x in found), len(iw)))
-            yield pd.DataFrame(rows, columns=out.names)
+                for a, z in spans:
+                    if z > a:
+                        pairs.append((dw[a:z], iw))
+                        of.append(k)
+            found = pd.DataFrame(smith_waterman_many(pairs), columns=["score", "longest_run"], dtype=np.int32).groupby(np.array(of, dtype=np.int64)).max()
+            rows = b.loc[b.index[found.index], ["doc_id", "item_id"]].reset_index(drop=True)
+            rows["score"], rows["longest_run"] = found["score"].to_numpy(), found["longest_run"].to_numpy()
+            rows["item_words"] = [len(words[b["item"].iloc[k]]) for k in found.index]
+            yield rows
 
     aligned = both.mapInPandas(align, out)
     return aligned.groupBy("doc_id", "item_id").agg(*(F.max(c).alias(c) for c in ("score", "longest_run", "item_words")))

@@ -141,6 +141,22 @@ def test_edited_copy_scores(spark):
     assert row["longest_run"] == 10 and row["score"] >= 50 and row["item_words"] == 30
 
 
+def test_many_alignments():
+    r = random.Random(5)
+    pairs = [tuple([r.choice("abcd") for _ in range(r.randrange(25))] for _ in range(2)) for _ in range(200)] + [([], []), (["a"] * 20_000, ["a", "b"] * 3), (["a"] * 17_000, ["a"] * 7_600)]
+    assert leakage.smith_waterman_many(pairs[:-1], cells=300) == [leakage.smith_waterman(*p) for p in pairs[:-1]]
+    assert leakage.smith_waterman_many(pairs[-1:]) == [(15_200, 7_600)]
+
+
+def test_copies_edited_in_many_documents(spark):
+    item = [f"word{i}" for i in range(13)]
+    first, last = item[:6] + ["x"] * 7, ["y"] * 7 + item[7:]  # each keeps one n-gram of six, and not the same
+    texts = [" ".join(first)] * 9 + [" ".join(last)] * 5 + ["no word of it"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = leakage.leaks(df, spark.createDataFrame([(5, " ".join(item))], "item_id long, text string"))
+    assert sorted((x["doc_id"], x["score"], x["longest_run"]) for x in out.collect()) == [(i, 12, 6) for i in range(14)]
+
+
 def test_compared_words():
     assert lookalike.compared_words("В oтчёте") == lookalike.compared_words("в ОТЧЁТЕ")
     assert lookalike.compared_words("Вutton") == ["button"] and lookalike.compared_words(None) == []
