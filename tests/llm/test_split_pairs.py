@@ -112,6 +112,15 @@ def test_defects(spark):
     assert pairs.defective_pairs(df.where("false")).count() == 0
 
 
+def test_neighbours_decide_beside_a_context(spark):
+    short, long = "The new barn keeps the hay dry", "The new barn keeps the hay dry for two winters."
+    cases = [(long, None, False), (short, "Nothing on barns here.", True), (short, None, True), (short, f"{short}. So it does.", False), (short, long, True), (None, None, False)]
+    rows = [(f"q{i}", "What does the new barn keep?", "out_of_context" if a is None else "direct_fact", a, c) for i, (a, c, _) in enumerate(cases)]
+    df = spark.createDataFrame(rows, "query_id string, query_text string, category string, expected_answer string, expected_context string")
+    got = {r["query_id"]: r["defect"] for r in pairs.defective_pairs(df).collect()}
+    assert got == {f"q{i}": "truncated" for i, (*_, cut) in enumerate(cases) if cut}
+
+
 def test_neighbours(spark):
     r = random.Random(3)
     texts = ["".join(r.choice("ab") for _ in range(r.randrange(1, 9))) for _ in range(300)] + [None, "ab", "ab"]
