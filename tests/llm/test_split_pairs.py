@@ -129,6 +129,23 @@ def test_neighbours(spark):
     assert {x["t"] for x in pairs.shortened_texts(df).collect()} == {a for a in have if any(b != a and b.startswith(a) for b in have)}
 
 
+def test_short_answers_are_compared(spark):
+    cases = [("The old mil", True), ("The old mill keeps grain.", False), ("North", False), ("Northern lights are seen.", False), ("New York", False), ("New York is large.", False), ("The mill.", False), ("The mill stands.", False), ("36 points", False), ("36 points are given.", False), (" ", None)]
+    df = spark.createDataFrame([(f"q{i}", "What is it?", "direct_fact", a, None) for i, (a, _) in enumerate(cases)], "query_id string, query_text string, category string, expected_answer string, expected_context string")
+    got = {r["query_id"]: r["defect"] for r in pairs.defective_pairs(df).collect()}
+    assert got == {"q0": "truncated", "q10": "empty"}
+
+
+def test_limits_of_any_length(spark):
+    lengths = [(n,) for n in range(249_990, 250_010) for _ in range(2)] + [(250_000,)] * 70 + [(5,)] * 30 + [(6,)] * 30 + [(1,)] * 19 + [(None,)] * 90
+    assert pairs.length_limits(spark.createDataFrame(lengths, "n int")) == [250_000]
+    r = random.Random(8)
+    many = [r.randrange(1, 90) for _ in range(900)] + [r.randrange(1, 90)] * 150 + [7] * 140 + [300] * 20
+    counts = {n: many.count(n) for n in set(many)}
+    want = sorted(n for n, c in counts.items() if c >= 20 and c > 6 * max(1, sum(counts.get(n + d, 0) for d in (-3, -2, -1, 1, 2, 3)) / 6))
+    assert pairs.length_limits(spark.createDataFrame([(n,) for n in many], "n int")) == want and 300 in want
+
+
 def test_length_limit(spark):
     df = spark.createDataFrame([(n,) for n in range(1, 60) for _ in range(3)] + [(37,)] * 80, "n int")
     assert pairs.length_limits(df) == [37]
