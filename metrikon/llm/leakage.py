@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -146,8 +146,11 @@ def leaks(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", item_col:
     comparison form of ``lookalike.compared_words``; edited copies have shorter runs but a high score (2 for a
     matching word, -1 for each edit). With ``edited`` every n-gram is a seed, so each document that shares ``n``
     consecutive words with an item gives a row and the score tells phrases from copies; without it only windows
-    whose n-grams all occur give seeds, which is enough for the exact passages. Null and empty texts and ids, and items of fewer than ``passage`` words,
-    give no row; an id under two texts gives its best row; columns of other names are ignored.
+    whose n-grams all occur give seeds, which is enough for the exact passages. An alignment with a positive score
+    covers fewer than three times the item's words of the document, so around each seed as much is looked at and
+    the score is that of the best alignment through it, however much is inserted. Null texts and ids give no row, nor
+    do items of fewer than ``n`` words (without ``edited`` of fewer than ``passage``); an id under two texts gives its
+    best row; columns of other names are ignored.
     """
     test = staged(_grams(items, item_col, text_col, n, "item_id"), "item-grams")
     wanted = test.select("h").distinct()
@@ -159,7 +162,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", item_col:
     width = passage - n + 1
     if edited:
         # The rarest n-gram of a window need not be the one that another copy of the window has kept.
-        seeds = test.withColumn("size", F.count("*").over(Window.partitionBy("item_id"))).where(F.col("size") >= width).select("item_id", "h", F.col("pos").alias("item_pos"))
+        seeds = test.select("item_id", "h").distinct()
     else:
         weighed = test.join(hits.groupBy("h").count(), "h", "left").select("item_id", "pos", "h", F.coalesce("count", F.lit(0)).alias("seen"))
         ordered = weighed.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("pos", "seen", "h"))).alias("g")).where(F.size("g") >= width)
@@ -169,8 +172,8 @@ def leaks(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", item_col:
             return F.when(first["seen"] > 0, first)
 
         windows = F.transform(F.sequence(F.lit(1), F.size("g") - width + 1), rarest)
-        seeds = ordered.select("item_id", F.explode(F.array_distinct(windows)).alias("s")).where("s IS NOT NULL").select("item_id", F.col("s.h").alias("h"), F.col("s.pos").alias("item_pos"))
-    meetings = hits.join(seeds, "h").groupBy("doc_id", "item_id").agg(F.collect_set(F.col("pos") - F.col("item_pos")).alias("shifts"))
+        seeds = ordered.select("item_id", F.explode(F.array_distinct(windows)).alias("s")).where("s IS NOT NULL").select("item_id", F.col("s.h").alias("h")).distinct()
+    meetings = hits.join(seeds, "h").groupBy("doc_id", "item_id").agg(F.collect_set("pos").alias("places"))
     texts = items.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("item"))
     both = meetings.join(docs.select(F.col(doc_col).alias("doc_id"), F.col(text_col).alias("doc")), "doc_id").join(texts, "item_id")
     out = T.StructType([meetings.schema["doc_id"], meetings.schema["item_id"], *(T.StructField(c, T.IntegerType()) for c in ("score", "longest_run", "item_words"))])
@@ -179,11 +182,11 @@ def leaks(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", item_col:
         for b in batches:
             words = {t: compared_words(t) for c in ("doc", "item") for t in set(b[c])}
             pairs, of = [], []
-            for k, (doc, item, shifts) in enumerate(zip(b["doc"], b["item"], b["shifts"], strict=True)):
+            for k, (doc, item, places) in enumerate(zip(b["doc"], b["item"], b["places"], strict=True)):
                 dw, iw = words[doc], words[item]
                 spans: list[list[int]] = []
-                for s in sorted(int(x) for x in shifts):
-                    a, z = max(0, s - 16), min(len(dw), s + len(iw) + 16)
+                for p in sorted(int(x) for x in places):
+                    a, z = max(0, p + n - 3 * len(iw)), min(len(dw), p + 3 * len(iw))
                     if spans and a <= spans[-1][1]:
                         spans[-1][1] = max(spans[-1][1], z)
                     else:

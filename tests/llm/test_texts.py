@@ -157,6 +157,17 @@ def test_copies_edited_in_many_documents(spark):
     assert sorted((x["doc_id"], x["score"], x["longest_run"]) for x in out.collect()) == [(i, 12, 6) for i in range(14)]
 
 
+def test_long_insertions_and_short_items(spark):
+    item = [f"word{i}" for i in range(60)]
+    tail = [w if k % 6 < 5 else "changed" for k, w in enumerate(item[30:])]  # no n-gram of six
+    doc = ["before"] * 150 + item[:30] + ["between"] * 40 + tail + ["after"] * 150
+    df = spark.createDataFrame([(1, " ".join(doc)), (2, "so word70 word71 word72 word73 word74 word75 word76 it is")], "doc_id long, text string")
+    tests = spark.createDataFrame([(5, " ".join(item)), (6, " ".join(f"word{i}" for i in range(70, 78))), (7, "word70 word71")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["score"], r["longest_run"]) for r in leakage.leaks(df, tests).collect()}
+    assert leakage.smith_waterman(doc, item) == (66, 30)
+    assert got == {(1, 5): (66, 30), (2, 6): (14, 7)}
+
+
 def test_compared_words():
     assert lookalike.compared_words("В oтчёте") == lookalike.compared_words("в ОТЧЁТЕ")
     assert lookalike.compared_words("Вutton") == ["button"] and lookalike.compared_words(None) == []
