@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from metrikon import catalogue_sql as s
 from metrikon.functions import text
 from metrikon.operators import chunk, generate
-from metrikon.session import read, shared_dir
+from metrikon.session import read, shared_dir, staged_path
 from metrikon.sources import connectors, datasets
 
 QUERIES: dict = {}
@@ -213,6 +213,51 @@ def load_csv_dataset(spark: SparkSession, d: str) -> DataFrame:
 SQL["load_csv_dataset"] = "SELECT * FROM (VALUES ('a', 'first', 'd1|d2', ''), ('q2', 'second', 'd3|d4', 'x, y')) t(id, text, gold, answers)"
 
 
+def _loadable(spark: SparkSession, d: str) -> DataFrame:
+    """Query rows with an id and a text, for without them a file is an error."""
+    rows = read(spark, d, "query_examples").select("query_id", "query_text", "expected_doc_ids", "expected_answers")
+    return rows.where((text.strip(F.col("query_id")) != "") & (text.strip(F.col("query_text")) != ""))
+
+
+def _loaded(q: DataFrame) -> DataFrame:
+    return q.select(F.col("query_id").alias("id"), F.md5("query_text").alias("h"), F.array_join("expected_doc_ids", "|").alias("gold"), F.array_join("expected_answers", "|").alias("answers"))
+
+
+@query
+def load_json_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The whole tables written as a folder of JSON files of some 1,000 items each, and loaded."""
+    path = staged_path(spark, "files")
+    documents = read(spark, d, "document_examples").select("doc_id", "text", "metadata").where(text.strip(F.col("doc_id")) != "")
+    for name, rows in (("queries", _loadable(spark, d)), ("documents", documents)):
+        files = rows.count() // 1000 + 1
+        part = F.pmod(F.xxhash64(*(c for c in rows.columns if c != "metadata")), F.lit(files))
+        lists = rows.groupBy(part.alias("part")).agg(F.collect_list(F.struct(*rows.columns)).alias(name))
+        lists.select(F.to_json(F.struct(name)).alias("value")).write.mode("append").option("maxRecordsPerFile", 1).text(path)
+    data = datasets.from_json(spark, path)
+    values = F.array_join(F.array_sort(F.map_values("metadata")), "|")
+    return _loaded(data.queries).unionByName(data.documents.select(F.col("doc_id").alias("id"), F.md5("text").alias("h"), F.lit("").alias("gold"), values.alias("answers")))
+
+
+@query
+def load_csv_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The whole table of queries written as CSV, its lists as JSON in their cells, and loaded."""
+    path = staged_path(spark, "files")
+    rows = _loadable(spark, d).withColumns({c: F.to_json(c) for c in ("expected_doc_ids", "expected_answers")})
+    options = {"header": True, "quoteAll": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    rows.write.options(**options).csv(path)
+    return _loaded(datasets.from_csv(spark, path).queries)
+
+
+def _list_sql(c: str) -> str:
+    given = f"list_filter(list_transform(coalesce({c}, []), lambda t: {s.strip('t')}), lambda t: t IS NOT NULL AND t <> '')"
+    return f"coalesce(array_to_string(list_filter({given}, lambda x, i: list_position({given}, x) = i), '|'), '')"
+
+
+_LOADED = f"SELECT {s.strip('query_id')} AS id, md5({s.strip('query_text')}) AS h, {_list_sql('expected_doc_ids')} AS gold, {_list_sql('expected_answers')} AS answers FROM query_examples WHERE {s.strip('query_id')} <> '' AND {s.strip('query_text')} <> ''"
+SQL["load_json_tables"] = f"{_LOADED} UNION ALL SELECT {s.strip('doc_id')}, md5(coalesce(text, '')), '', coalesce(array_to_string(list_sort(map_values(metadata)), '|'), '') FROM document_examples WHERE {s.strip('doc_id')} <> ''"
+SQL["load_csv_tables"] = _LOADED
+
+
 @query
 def score_from_distance(spark: SparkSession, d: str) -> DataFrame:
     rows = read(spark, d, "retrieval_results").select("result_id", (F.lit(0.5) - F.col("score")).alias("distance")).distinct()

@@ -35,14 +35,20 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: the lineage is cut and nothing is computed twice."""
-    spark = df.sparkSession
+def staged_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, deleted by ``release_staged``."""
     path = f"{shared_dir(spark)}/metrikon/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     if not _STAGED:
         atexit.register(release_staged)
     _STAGED.append(path)
+    return path
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: the lineage is cut and nothing is computed twice."""
+    spark = df.sparkSession
+    path = staged_path(spark, label)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
