@@ -1,10 +1,11 @@
 """Samples with target shares of categories, from mergeable per-category reservoirs.
 
 Each eligible id gets a uniform 64-bit priority from a hash of the id and the seed. The reservoir of a category
-is kept as cells by the leading bits of the priority: counts of cells add up over partitions in any order, and
-the rows with the smallest priorities are a uniform sample of any size up to the category's. After the final
-counts, a quota is filled with all cells below the one it ends in and the smallest priorities of that cell, so
-no category, however large, is sorted in one task.
+is kept as cells by the leading bits of the priority, each with its count and its ids in order of priority: cells
+add up over partitions in any order, and the ids with the smallest priorities are a uniform sample of any size up
+to the category's. The rows are read once to fill the cells; a quota may be as large as its category, so a cell
+keeps all its ids. After the final counts a quota is trimmed from the cells: all below the one it ends in and the
+first ids of that cell, so no category, however large, is sorted in one task.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from metrikon.session import staged
+
 # The categories that may be sampled.
 CATEGORIES = ("direct_fact", "paraphrase", "keyword_search", "specific_detail", "broad_summary", "out_of_context")
 
@@ -31,6 +34,11 @@ def reservoirs(rows: DataFrame, id_col: str, category_col: str, categories: tupl
     return one.withColumn("cell", F.shiftrightunsigned("priority", 64 - cell_bits).cast("int"))
 
 
+def merged_cells(one: DataFrame) -> DataFrame:
+    """(category, cell, count, ids): the reservoirs of ``reservoirs`` merged by cell, ids as (priority, id) in this order."""
+    return one.groupBy("category", "cell").agg(F.count("*").alias("count"), F.array_sort(F.collect_list(F.struct("priority", "id"))).alias("ids"))
+
+
 def final_counts(cells: DataFrame) -> dict[str, int]:
     """Rows in each category's reservoir: one row a category comes to the driver."""
     return {r["category"]: r["count"] for r in cells.groupBy("category").count().collect()}
@@ -76,17 +84,13 @@ def sample(targets: DataFrame, rows: DataFrame, id_col: str = "query_id", catego
     Null ids and categories outside the eligible ones take no part; a repeated id is one row; an empty table
     gives an empty sample; columns with other names are ignored. Ties in priority go by id.
     """
-    cells = reservoirs(rows, id_col, category_col, seed=seed, cell_bits=cell_bits)
-    per_cell = cells.groupBy("category", "cell").count()
+    cells = staged(merged_cells(reservoirs(rows, id_col, category_col, seed=seed, cell_bits=cell_bits)), "reservoirs")
+    per_cell = cells.select("category", "cell", "count")
     counts = per_cell.groupBy("category").agg(F.sum("count").alias("count"))
     q = quotas(targets, counts).where("quota > 0").select("plan_id", "category", "quota")
     # At most 2**cell_bits cells a category: where in the order of cells does each quota end?
     before = F.sum("count").over(Window.partitionBy("plan_id", "category").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
     ends = per_cell.join(F.broadcast(q), "category").withColumn("before", F.coalesce(before, F.lit(0)))
     ends = ends.where("before < quota").withColumn("take", F.least(F.col("count"), F.col("quota") - F.col("before")))
-    whole = ends.where("take = count").groupBy("plan_id", "category").agg(F.max("cell").alias("upto"))
-    parts = ends.where("take < count").select("plan_id", "category", "cell", "take")
-    full = cells.join(F.broadcast(whole), "category").where("cell <= upto").select("plan_id", "id", "category")
-    rank = F.row_number().over(Window.partitionBy("plan_id", "category", "cell").orderBy("priority", "id"))
-    cut = cells.join(F.broadcast(parts), ["category", "cell"]).withColumn("r", rank).where("r <= take").select("plan_id", "id", "category")
-    return full.unionByName(cut)
+    taken = cells.select("category", "cell", "ids").join(ends.select("plan_id", "category", "cell", "take"), ["category", "cell"])
+    return taken.select("plan_id", F.explode(F.slice("ids", 1, F.col("take").cast("int"))).alias("s"), "category").select("plan_id", "s.id", "category")

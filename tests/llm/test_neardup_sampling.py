@@ -123,3 +123,16 @@ def test_sample_is_uniform(spark):
     targets = spark.createDataFrame([(1, "paraphrase", 1000, 0, 500)], TARGETS)
     ids = [int(r["id"][1:]) for r in sampling.sample(targets, df).collect()]
     assert len(ids) == 2000 and abs(np.mean(ids) - 2000) < 100
+
+
+def test_rows_are_read_once_and_cells_merge(spark, tmp_path):
+    df = spark.range(500).select(F.concat(F.lit("q"), F.col("id")).alias("query_id"), F.lit("paraphrase").alias("category"))
+    df.write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    out = sampling.sample(spark.createDataFrame([(1, "paraphrase", 1000, 0, 500)], TARGETS), rows, cell_bits=4)
+    assert not any(str(tmp_path) in f for f in out.inputFiles()) and out.count() == 250
+    first = sorted((r["priority"] % 2**64, r["id"]) for r in sampling.reservoirs(rows, "query_id", "category").collect())[:250]
+    assert {r["id"] for r in out.collect()} == {i for _, i in first}
+    cells = sampling.merged_cells(sampling.reservoirs(rows, "query_id", "category", cell_bits=4)).collect()
+    assert len(cells) == 16 and sum(r["count"] for r in cells) == 500
+    assert all(len(r["ids"]) == r["count"] and [tuple(x) for x in r["ids"]] == sorted(tuple(x) for x in r["ids"]) for r in cells)
