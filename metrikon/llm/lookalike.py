@@ -13,12 +13,15 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from metrikon.llm import codepoints
 from metrikon.session import staged
 
 # Letters drawn alike, foreign ones first, the Latin ones they look like second.
@@ -54,6 +57,7 @@ _ALNUM = re.compile(r"[^\W_]+")
 _FOREIGN = re.compile("[^\x00-\xac\xae-\u0130\u0132-\u024f\u2010-\u2029\u202f-\u205f\u2190-\u27ff\u3001-\u3098\u309b-\u9fff\U0001f000-\U0001faff]")
 
 
+
 def base_form(text: str) -> str:
     """Width, spaces and invisible characters by table, accents composed; letters keep their script."""
     return text if text.isascii() else unicodedata.normalize("NFC", text.translate(_BASE))
@@ -254,9 +258,27 @@ def lookalike_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def compared_words(text: str | None) -> list[str]:
     """Words for comparison across scripts and cases: look-alike letters, case, marks and spacing set aside."""
-    if not text:
-        return []
+    return [] if not text else _ALNUM.findall(_compared(text))
+
+
+def _compared(text: str) -> str:
     if text.isascii() or not _FOREIGN.search(text):
-        return _ALNUM.findall(text.lower())
-    form = base_form(text).translate(_EARLY).lower()
-    return _ALNUM.findall(unicodedata.normalize("NFC", unicodedata.normalize("NFD", form).translate(_LATE)))
+        return text.lower()
+    base, early, late = _arrays()
+    form = codepoints.translated(codepoints.composed(codepoints.translated(text, base)), early).lower()
+    return codepoints.composed(codepoints.translated(codepoints.decomposed(form), late))
+
+
+def compared_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, 64-bit hash) of the words of ``compared_words`` of all texts at once."""
+    foreign = [k for k, t in enumerate(texts) if t and not t.isascii() and _FOREIGN.search(t)]
+    if foreign:
+        texts = list(texts)
+        for k, t in zip(foreign, _compared(codepoints.joined([texts[k] for k in foreign])).split(codepoints.SEP), strict=True):
+            texts[k] = t
+    return codepoints.word_hashes(codepoints.joined(texts).lower())
+
+
+@cache
+def _arrays() -> tuple[codepoints.Table, codepoints.Table, codepoints.Table]:
+    return codepoints.table(_BASE), codepoints.table(_EARLY), codepoints.table(_LATE)

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,27 +89,31 @@ def test_lookalike_pairs(spark, limit):
     assert lookalike.lookalike_pairs(df.where("false"), "doc_id", "text").count() == 0
 
 
-def test_smith_waterman():
-    assert leakage.smith_waterman("a b c d".split(), "a b c d".split()) == (8, 4)
-    assert leakage.smith_waterman("x a b y c d z".split(), "a b c d".split()) == (7, 2)
-    assert leakage.smith_waterman("a b d".split(), "a b c d".split()) == (5, 2)
-    assert leakage.smith_waterman([], ["a"]) == (0, 0) and leakage.smith_waterman(["q"], ["a"]) == (0, 0)
+def local_score(doc, item, free_start=True):
+    """Smith-Waterman score cell by cell; without ``free_start`` the alignment begins at the first words of both."""
+    rows = [[0 if free_start else -j - i for j in range(len(doc) + 1)] for i in range(len(item) + 1)]
+    for i, w in enumerate(item, 1):
+        for j, v in enumerate(doc, 1):
+            best = max(rows[i - 1][j - 1] + (2 if v == w else -1), rows[i - 1][j] - 1, rows[i][j - 1] - 1)
+            rows[i][j] = max(0, best) if free_start else best
+    return max(map(max, rows))
 
-    def plain(doc, item):
-        best, rows = 0, [[0] * (len(doc) + 1) for _ in range(len(item) + 1)]
-        for i, w in enumerate(item, 1):
-            for j, v in enumerate(doc, 1):
-                rows[i][j] = max(0, rows[i - 1][j - 1] + (2 if v == w else -1), rows[i - 1][j] - 1, rows[i][j - 1] - 1)
-                best = max(best, rows[i][j])
-        return best
 
+def test_extensions():
+    assert local_score("x a b y c d z".split(), "a b c d".split()) == 7
     r = random.Random(7)
-    for _ in range(60):
-        doc, item = ([r.choice("abcd") for _ in range(r.randrange(15))] for _ in range(2))
-        assert leakage.smith_waterman(doc, item)[0] == plain(doc, item)
-
-
-@pytest.mark.parametrize("limit", [0, 2_000_000])
+    pairs = [tuple([r.choice("abcd") for _ in range(r.randrange(25))] for _ in range(2)) for _ in range(300)]
+    for code in (np.uint16, np.uint32):
+        for step in (1, -1):
+            sides = []
+            for k in (0, 1):
+                flat = np.array([4 * ord(c) for p in pairs for c in p[k][::step]], dtype=code)
+                size = np.array([len(p[k]) for p in pairs])
+                sides.append(leakage.Side(flat, np.cumsum(size) - (size if step > 0 else 1), size, np.full(len(pairs), step)))
+            assert leakage.extensions(*sides, cells=200).tolist() == [max(0, local_score(*p, free_start=False)) for p in pairs]
+
+
+@pytest.mark.parametrize("limit", [150, 2_000_000])
 def test_leaks(spark, limit):
     r = random.Random(11)
     word = lambda: f"w{int(r.paretovariate(0.7)) % 300}"
@@ -125,10 +130,12 @@ def test_leaks(spark, limit):
     rows = [(i, noisy(d)) for i, d in enumerate(docs)] + [(900, None), (901, ""), (None, noisy(items[0]))]
     df = spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, pos int")
     tests = spark.createDataFrame([(i, " ".join(t), 1) for i, t in enumerate(items)] + [(99, None, 1)], "item_id long, text string, h int")
-    out = leakage.leaks(df, tests, broadcast_rows=limit)
+    out = leakage.leaks(df, tests, block_words=limit)
     got = {(x["doc_id"], x["item_id"]) for x in out.where("longest_run >= 12").collect()}
     grams = lambda w: {tuple(w[k : k + 12]) for k in range(len(w) - 11)}
     assert got == {(i, j) for i, d in enumerate(docs) for j, t in enumerate(items) if grams(d) & grams(t)}
+    for x in out.collect():
+        assert 2 * x["longest_run"] <= x["score"] <= local_score(docs[x["doc_id"]], items[x["item_id"]])
     assert leakage.leaks(df.where("false"), tests).count() == 0 and leakage.leaks(df, tests.where("false")).count() == 0
 
 
@@ -141,11 +148,35 @@ def test_edited_copy_scores(spark):
     assert row["longest_run"] == 10 and row["score"] >= 50 and row["item_words"] == 30
 
 
-def test_many_alignments():
-    r = random.Random(5)
-    pairs = [tuple([r.choice("abcd") for _ in range(r.randrange(25))] for _ in range(2)) for _ in range(200)] + [([], []), (["a"] * 20_000, ["a", "b"] * 3), (["a"] * 17_000, ["a"] * 7_600)]
-    assert leakage.smith_waterman_many(pairs[:-1], cells=300) == [leakage.smith_waterman(*p) for p in pairs[:-1]]
-    assert leakage.smith_waterman_many(pairs[-1:]) == [(15_200, 7_600)]
+@pytest.mark.parametrize("copies", [4, 40, 400])
+def test_edited_copies_at_any_frequency(spark, copies):
+    r = random.Random(copies)
+    item = [f"word{i}" for i in range(20)]
+    texts = []
+    for i in range(copies):
+        copy = item[:]
+        copy[10] = f"changed{i % 3}"
+        texts.append(" ".join(r.choice("klmnop") for _ in range(r.randrange(30))) + " " + " ".join(copy))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = leakage.leaks(df, spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")).collect()
+    assert sorted((x["doc_id"], x["score"], x["longest_run"], x["seed_places"]) for x in out) == [(i, 37, 10, copies) for i in range(copies)]
+
+
+def test_recall_of_edited_copies(spark):
+    """One word in eight edited: at least nine of ten copies come out with most of the score of a whole copy."""
+    r = random.Random(13)
+    items = [[f"w{int(r.paretovariate(0.6)) % 5000}" for _ in range(r.randrange(30, 90))] for _ in range(40)]
+    texts = []
+    for k in range(400):
+        out = []
+        for w in items[k % 40]:
+            p = r.random()
+            out += [w] if p > 1 / 8 else [] if p < 1 / 24 else ["other", w] if p < 1 / 12 else ["other"]
+        texts.append((k, " ".join(out)))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    found = leakage.leaks(df, spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string"))
+    hits = found.where("score >= item_words AND doc_id % 40 = item_id").count()
+    assert hits >= 0.9 * len(texts)
 
 
 def test_copies_edited_in_many_documents(spark):
@@ -164,7 +195,7 @@ def test_long_insertions_and_short_items(spark):
     df = spark.createDataFrame([(1, " ".join(doc)), (2, "so word70 word71 word72 word73 word74 word75 word76 it is")], "doc_id long, text string")
     tests = spark.createDataFrame([(5, " ".join(item)), (6, " ".join(f"word{i}" for i in range(70, 78))), (7, "word70 word71")], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): (r["score"], r["longest_run"]) for r in leakage.leaks(df, tests).collect()}
-    assert leakage.smith_waterman(doc, item) == (66, 30)
+    assert local_score(doc, item) == 66
     assert got == {(1, 5): (66, 30), (2, 6): (14, 7)}
 
 
@@ -172,3 +203,8 @@ def test_compared_words():
     assert lookalike.compared_words("В oтчёте") == lookalike.compared_words("в ОТЧЁТЕ")
     assert lookalike.compared_words("Вutton") == ["button"] and lookalike.compared_words(None) == []
     assert lookalike.compared_words("sp​ace-bar_x") == ["space", "bar", "x"]
+    texts = [t for pair in SAME + APART for t in pair] + TEXTS + ["a\x00b", "￣x", "İstanbul ΣΑΣ", "ｶﾞ gã"]
+    owner, found = lookalike.compared_hashes(texts)
+    words = [(k, w) for k, t in enumerate(texts) for w in lookalike.compared_words(t)]
+    assert owner.tolist() == [k for k, _ in words]
+    assert len(set(zip([w for _, w in words], found.tolist()))) == len({w for _, w in words}) == len(set(found.tolist()))
