@@ -1,26 +1,25 @@
 """Near-duplicate records: a multi-index Hamming join on sparse b-bit signatures, exact for a Jaccard threshold.
 
 The signature of a text has one bit for each of 2**64 word hashes, set for its words, so the Hamming distance of
-two signatures is the number of words in one text only. Jaccard >= J between texts of a and b words means a
-distance of at most t = (a + b)(1 - J)/(1 + J). The pigeonhole runs over two sections of the signature:
+two signatures is the number of words in one text only. A text of n words has distance n(1 - J)/J at most to any text
+of Jaccard >= J.
 
-* rare section: one chunk for each word found in few texts. Two texts either agree in one of these chunks,
-  or all r_a + r_b rare words are errors.
-* frequent section: in that case at most t - r_a - r_b errors are left for it. Cut into one chunk more than
-  that, it has an error-free chunk, whose value is the key.
+Signatures are split by a hash into m chunks, m by size band. By the pigeonhole principle a pair with d errors agrees
+in m - d chunks or more, so a text that allows t errors need not send all of its chunks: it leaves out the m - t - 1
+hottest of them, in an order of hotness that is the same for all texts. Of the chunks in which a pair agrees the
+coldest can be among those left out by neither text, for there are too many hotter ones; so every pair under the
+distance still shares a key, and chunks that are empty or hold frequent words only are hardly ever sent.
+The order comes from a bounded sample of texts; whatever it is, no pair is lost.
 
-Pairs of two texts with many rare words and pairs with a text of few meet in two joins; as texts of few rare
-words are few, their keys are broadcast after a check of their number, and shuffled beyond it.
+Keys that are still frequent are split: in a chunk in which two texts agree there is no error, so their other words
+obey the same bound, and a second split of these by another hash gives keys within the key.
 
-Texts with at least ``rare_at_least`` rare words and those with fewer enumerate their own allowance of
-errors, so the first have few, long chunks. All pairs under the distance share a key: none is lost. A folded
-64-bit signature (its distance never exceeds the full one) rejects most candidates in the join, and the
-remaining pairs are compared exactly. A chunk value is the XOR of its words' hashes.
+A folded 64-bit signature (its distance never exceeds the full one) rejects most candidates in the join, and
+the remaining pairs are compared exactly. A chunk value is the XOR of its words' hashes.
 """
 
 from __future__ import annotations
 
-import bisect
 import math
 from collections.abc import Iterator
 
@@ -32,7 +31,7 @@ from pyspark.sql import functions as F
 from metrikon.session import staged
 
 WORD = r"[\p{L}\p{N}]+"
-KEYS = "key long, sid long, n int, sig long, few boolean, plain boolean"
+KEYS = "key long, sid long, n int, sig long"
 
 
 def word_sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -45,21 +44,15 @@ def word_sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("id", F.xxhash64("words").alias("sid"), F.size("words").alias("n"), "words")
 
 
-def size_classes(longest: int, ratio: float) -> list[int]:
-    """Lower ends of classes such that texts of ratio ``ratio`` or more lie in the same or the next class."""
-    ends = [1]
-    while ends[-1] <= longest:
-        ends.append(math.floor(ends[-1] / ratio + 1e-9) + 1)
-    return ends
+def most_errors(n: np.ndarray | int, num: int, den: int, partner: int | None = None):  # noqa: ANN201
+    """Greatest distance for J = num/den of a text of ``n`` words to any other, or to one of at most ``partner`` words."""
+    return n * (den - num) // num if partner is None else (n + partner) * (den - num) // (den + num)
 
 
-def allowance(upper: int, num: int, den: int) -> int:
-    """Greatest distance of a pair whose smaller text has at most ``upper`` words, for J = num/den."""
-    larger = upper * den // num
-    return (upper + larger) * (den - num) // (den + num)
-
-
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+def chunks_of(band: int, num: int, den: int, spare: float) -> int:
+    """Chunks of the band of 2**band to 2**(band + 1) - 1 words: one more than its errors, or ``spare`` times its words."""
+    top = 2 ** (band + 1) - 1
+    return max(int(most_errors(top, num, den)) + 1, math.ceil(spare * top))
 
 
 def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
@@ -78,85 +71,103 @@ def _chunk_values(mixed: np.ndarray, word: np.ndarray, row: np.ndarray, m: np.nd
     return owner, np.arange(first[-1]) - first[owner], out
 
 
-def chunk_keys(sets: DataFrame, frequent: list[int], longest: int, num: int, den: int, rare_at_least: int) -> DataFrame:
-    """The keys of every text (see the module). ``few``: fewer rare words; ``plain``: a key of two texts with many."""
-    ends = size_classes(longest, num / den)
-    tops = np.array([allowance(ends[k + 1] - 1, num, den) for k in range(len(ends) - 1)])
-    known = np.array(sorted(frequent), dtype=np.int64)
+def chunk_keys(sets: DataFrame, num: int, den: int, spare: float, hot: np.ndarray | None = None, within: bool = False) -> DataFrame:
+    """The keys of every text (see the module): of the chunks of each band it belongs to, the coldest one more than its errors.
+
+    ``hot`` has the hot keys in order of hotness, hottest last; without it all chunks are sent. ``within`` adds a split
+    of the words outside of the chunk that ``sets`` has a column ``key`` for: one chunk more than the errors.
+    """
+    hot = np.zeros(0, dtype=np.int64) if hot is None else hot
+    by_key = np.argsort(hot)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            lists = batch.column("words")
-            word = lists.flatten().to_numpy(zero_copy_only=False)
+            word = batch.column("words").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             n = batch.column("n").to_numpy(zero_copy_only=False).astype(np.int64)
             row = np.repeat(np.arange(len(n)), n)
-            at = np.minimum(np.searchsorted(known, word), max(len(known) - 1, 0))
-            often = known[at] == word if len(known) else np.zeros(len(word), dtype=bool)
-            bits = word.view(np.uint64)
-            mixed = _mixed(bits, 1)
             sig = np.zeros(len(n), dtype=np.uint64)
-            np.bitwise_xor.at(sig, row, np.uint64(1) << (_mixed(bits, 2) % np.uint64(64)))
-            r = np.bincount(row[~often], minlength=len(n))
-            own = np.array([bisect.bisect_right(ends, int(x)) - 1 for x in n])
-            parts = [(_mixed(bits[~often], 3), row[~often], np.zeros(len(n), dtype=bool), True)]
-            for k in (own, own - 1):
-                ok = k >= 0
-                t = np.where(ok, tops[np.maximum(k, 0)], -1)
-                q = np.minimum(rare_at_least, t // 2 + 1)
-                few = r < q
-                for plain in (True, False):
-                    left = t - 2 * q if plain else t
-                    take = ok & (left >= 0) & (t - r >= 0) & (~few if plain else np.ones(len(n), dtype=bool))
-                    if not take.any():
-                        continue
-                    pick = np.flatnonzero(take)
-                    new = np.full(len(n), -1)
-                    new[pick] = np.arange(len(pick))
-                    use = often & take[row]
-                    owner, chunk, value = _chunk_values(mixed[use], bits[use], new[row[use]], (left[pick] + 1))
-                    salt = (k[pick][owner] * 2 + plain).astype(np.uint64) << np.uint64(32) | chunk.astype(np.uint64)
-                    parts.append((_mixed(value ^ _mixed(salt, 5), 4), pick[owner], few, plain))
-            for key, who, few, plain in parts:
-                if len(key):
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(key.view(np.int64)),
-                            batch.column("sid").take(pa.array(who)),
-                            pa.array(n[who].astype(np.int32)),
-                            pa.array(sig.view(np.int64)[who]),
-                            pa.array(few[who]),
-                            pa.array(np.full(len(who), plain)),
-                        ],
-                        names=["key", "sid", "n", "sig", "few", "plain"],
-                    )
-
-    return sets.select("sid", "n", "words").mapInArrow(emit, KEYS)
-
-
-def similar_sets(sets: DataFrame, num: int = 4, den: int = 5, rare_share: float = 0.001, rare_at_least: int = 4, rare_floor: int = 20, broadcast_keys: int = 250_000) -> DataFrame:
+            np.bitwise_xor.at(sig, row, np.uint64(1) << (_mixed(word, 2) % np.uint64(64)))
+            own, low = (np.floor(np.log2(x)).astype(np.int64) for x in (n, np.maximum(1, -(-n * num // den))))
+            outer = batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64) if within else None
+            for band in np.unique(np.concatenate((own, low))).tolist():
+                pick = np.flatnonzero((own == band) | (low == band))
+                # In the band below its own a text meets those of that band only.
+                errors = np.where(own[pick] == band, most_errors(n[pick], num, den), most_errors(n[pick], num, den, 2 ** (band + 1) - 1))
+                m = chunks_of(band, num, den, spare)
+                new = np.full(len(n), -1)
+                new[pick] = np.arange(len(pick))
+                use = new[row] >= 0
+                bits, of = word[use], new[row[use]]
+                if within:
+                    m = int(most_errors(2 ** (band + 1) - 1, num, den)) + 1
+                owner, chunk, value = _chunk_values(_mixed(bits, 6 if within else 1), bits, of, np.full(len(pick), m))
+                key = _mixed(value ^ _mixed(np.uint64(band) << np.uint64(32) | chunk.astype(np.uint64), 7 if within else 5), 4)
+                if within:
+                    key = _mixed(key ^ outer[pick][owner], 8)
+                heat = np.zeros(len(key), dtype=np.int64)
+                if len(hot):
+                    at = np.minimum(np.searchsorted(hot, key.view(np.int64), sorter=by_key), len(hot) - 1)
+                    place = by_key[at]
+                    heat = np.where(hot[place] == key.view(np.int64), place + 1, 0)
+                if len(hot) or within:
+                    order = np.lexsort((key, heat, owner))
+                    send = order[(np.arange(len(key)) % m) <= errors[owner]]
+                    key, owner = key[send], owner[send]
+                who = pick[owner]
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("sid").take(pa.array(who)), pa.array(n[who].astype(np.int32)), pa.array(sig.view(np.int64)[who])], names=["key", "sid", "n", "sig"])
+
+    return sets.select("sid", "n", "words", *(["key"] if within else [])).mapInArrow(emit, KEYS)
+
+
+def hot_keys(sets: DataFrame, rows: int, num: int, den: int, spare: float, sample_sets: int, kept: int) -> np.ndarray:
+    """The at most ``kept`` most frequent chunk values of about ``sample_sets`` texts, picked by a hash, hottest last."""
+    share = min(1.0, sample_sets / max(1, rows))
+    some = sets.where(F.pmod(F.xxhash64("sid"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    counted = chunk_keys(some, num, den, spare).groupBy("key").count().where("count > 1").orderBy(F.desc("count"), "key").limit(kept)
+    return np.array([r["key"] for r in counted.collect()][::-1], dtype=np.int64)
+
+
+def similar_sets(sets: DataFrame, num: int = 4, den: int = 5, spare: float = 0.3, sample_sets: int = 20_000, kept: int = 5_000, most: int = 1_000, broadcast_rows: int = 100_000, salts: int = 16) -> DataFrame:
     """(sid_a, sid_b, shared, n_a, n_b) of all pairs of different word sets with Jaccard >= num/den.
 
-    ``sets`` has one row a set and is best staged, for it is read several times. Frequent is a word in more
-    than ``rare_share`` of the sets and in more than ``rare_floor``: at most (mean words a set) / rare_share
-    hashes come to the driver, whatever the size of the data.
+    ``sets`` has one row a set and is best staged, for it is read several times. Keys of more than ``most`` texts are
+    split once more, and what is then still as frequent is salted. The list of such keys is broadcast up to
+    ``broadcast_rows`` of them and joined beyond.
     """
-    size = sets.agg(F.count("*").alias("rows"), F.max("n").alias("longest")).first()
-    rows, longest = size["rows"], size["longest"] or 1
-    above = max(rare_floor, math.floor(rows * rare_share))
-    frequent = [r["w"] for r in sets.select(F.explode("words").alias("w")).groupBy("w").count().where(F.col("count") > above).select("w").collect()]
-    keys = chunk_keys(sets, frequent, longest, num, den, rare_at_least)
-    a, b = keys.alias("a"), keys.alias("b")
-    total = F.col("a.n") + F.col("b.n")
-    near = (F.bit_count(F.col("a.sig").bitwiseXOR(F.col("b.sig"))) * (den + num) <= total * (den - num)) & (F.least("a.n", "b.n") * den >= F.greatest("a.n", "b.n") * num)
-    met = (F.col("a.key") == F.col("b.key")) & near
-    many = a.where("plain").join(b.where("plain"), met & (F.col("a.sid") < F.col("b.sid")))
-    scarce = keys.where("few AND NOT plain")
-    small = scarce.count() <= broadcast_keys
-    few = b.where("NOT plain").join((F.broadcast(scarce) if small else scarce).alias("a"), met & (F.col("a.sid") != F.col("b.sid")))
-    ends = lambda d: d.select(F.least("a.sid", "b.sid").alias("sid_a"), F.greatest("a.sid", "b.sid").alias("sid_b"))
-    pairs = ends(many).unionByName(ends(few)).distinct()
+    hot = hot_keys(sets, sets.count(), num, den, spare, sample_sets, kept)
+    keys = staged(chunk_keys(sets, num, den, spare, hot if len(hot) else np.zeros(1, dtype=np.int64)), "keys")
+
+    def crowded(of: DataFrame) -> tuple[DataFrame, int]:
+        found = staged(of.groupBy("key").count().where(F.col("count") > most).select("key"), "crowded")
+        size = found.count()
+        return F.broadcast(found) if size <= broadcast_rows else found, size
+
+    def met(left: DataFrame, right: DataFrame, *on: str) -> DataFrame:
+        a, b = left.alias("a"), right.alias("b")
+        total = F.col("a.n") + F.col("b.n")
+        near = (F.bit_count(F.col("a.sig").bitwiseXOR(F.col("b.sig"))) * (den + num) <= total * (den - num)) & (F.least("a.n", "b.n") * den >= F.greatest("a.n", "b.n") * num)
+        same = F.col("a.sid") < F.col("b.sid")
+        for c in ("key", *on):
+            same = same & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+        return a.join(b, same & near).select(F.col("a.sid").alias("sid_a"), F.col("b.sid").alias("sid_b"))
+
+    many, size = crowded(keys)
+    if not size:
+        pairs = met(keys, keys)
+    else:
+        calm = keys.join(many, "key", "left_anti")
+        inner = staged(chunk_keys(keys.join(many, "key", "left_semi").select("key", "sid").join(sets, "sid"), num, den, spare, within=True), "inner-keys")
+        packed, left = crowded(inner)
+        pairs = met(calm, calm)
+        if not left:
+            pairs = pairs.unionByName(met(inner, inner))
+        else:
+            loose, dense = inner.join(packed, "key", "left_anti"), inner.join(packed, "key", "left_semi")
+            spread = dense.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+            pairs = pairs.unionByName(met(loose, loose)).unionByName(met(dense.withColumn("salt", F.pmod(F.xxhash64("sid"), F.lit(salts)).cast("int")), spread, "salt"))
+    pairs = pairs.distinct()
     left = sets.select(F.col("sid").alias("sid_a"), F.col("n").alias("n_a"), F.col("words").alias("words_a"))
     right = sets.select(F.col("sid").alias("sid_b"), F.col("n").alias("n_b"), F.col("words").alias("words_b"))
     both = pairs.join(left, "sid_a").join(right, "sid_b").withColumn("shared", F.size(F.array_intersect("words_a", "words_b")))

@@ -37,27 +37,29 @@ def corpus(n, seed, length, vocabulary, rare):
     return rows
 
 
-@pytest.mark.parametrize("n, length, vocabulary, rare, least", [(250, 12, 30, 3, 4), (200, 60, 50, 0, 2), (200, 40, 400, 6, 4)])
-def test_no_pair_is_lost(spark, n, length, vocabulary, rare, least):
+@pytest.mark.parametrize("n, length, vocabulary, rare", [(250, 12, 30, 3), (200, 60, 50, 0), (200, 40, 400, 6)])
+def test_no_pair_is_lost(spark, n, length, vocabulary, rare):
     rows = corpus(n, n + length, length, vocabulary, rare)
     df = spark.createDataFrame(rows, "id string, text string")
     got = [(r["id_a"], r["id_b"]) for r in neardup.near_duplicates(df, "t", "id", "text").collect()]
     assert len(got) == len(set(got)) and set(got) == brute(rows)
 
 
-@pytest.mark.parametrize("keys", [0, 250_000])
-def test_both_joins(spark, keys):
-    """Frequent words only, few rare ones: the pairs come from the frequent section, broadcast or not."""
-    rows = corpus(150, 9, 50, 60, 5)
-    df = spark.createDataFrame(rows, "id string, text string")
-    members, sets, _ = neardup.staged_sets(df, "id", "text", "test", broadcast_rows=keys)
-    found = neardup.similar_sets(sets, rare_floor=1, rare_share=0.0, rare_at_least=3, broadcast_keys=keys)
+@pytest.mark.parametrize("most, rows, sample", [(3, 0, 20_000), (3, 100_000, 10), (40, 100_000, 0)])
+def test_frequent_keys(spark, most, rows, sample):
+    """Frequent words only, so that keys are split, salted, and joined with or without a broadcast."""
+    texts = corpus(150, 9, 50, 60, 5)
+    df = spark.createDataFrame(texts, "id string, text string")
+    members, sets, _ = neardup.staged_sets(df, "id", "text", "test", broadcast_rows=rows)
+    found = neardup.similar_sets(sets, most=most, broadcast_rows=rows, sample_sets=sample, salts=3)
     by_set = {}
     for r in members.collect():
         by_set.setdefault(r["sid"], []).append(r["id"])
-    got = {tuple(sorted((a, b))) for r in found.collect() for a in by_set[r["sid_a"]] for b in by_set[r["sid_b"]]}
+    pairs = [(r["sid_a"], r["sid_b"]) for r in found.collect()]
+    assert len(pairs) == len(set(pairs))
+    got = {tuple(sorted((a, b))) for x, y in pairs for a in by_set[x] for b in by_set[y]}
     same = {tuple(sorted((a, b))) for v in by_set.values() for a in v for b in v if a < b}
-    assert got | same == brute(rows)
+    assert got | same == brute(texts)
 
 
 def test_edges(spark):
@@ -69,16 +71,15 @@ def test_edges(spark):
     assert neardup.near_duplicates(df.where("false"), "t", "id", "text").count() == 0
 
 
-def test_allowance():
-    for upper in range(1, 60):
-        t = neardup.allowance(upper, 4, 5)
-        for a in range(1, upper + 1):
-            for b in range(a, a * 5 // 4 + 1):
-                most = max((a + b - 2 * i for i in range(a + 1) if 5 * i >= 4 * (a + b - i)), default=0)
-                assert most <= t
-    ends = neardup.size_classes(100, 0.8)
-    at = lambda n: max(k for k, e in enumerate(ends) if e <= n)
-    assert all(at(b) - at(a) <= 1 for a in range(1, 80) for b in range(a, a * 5 // 4 + 1))
+def test_errors():
+    for n in range(1, 60):
+        for b in range(n, 80):
+            for shared in range(n + 1):
+                if 5 * shared >= 4 * (n + b - shared):
+                    d = n + b - 2 * shared
+                    assert d <= min(neardup.most_errors(n, 4, 5), neardup.most_errors(b, 4, 5), neardup.most_errors(b, 4, 5, partner=n))
+                    assert n.bit_length() - 1 >= (-(-b * 4 // 5)).bit_length() - 1
+    assert all(neardup.chunks_of(k, 4, 5, 0.0) > neardup.most_errors(2 ** (k + 1) - 1, 4, 5) for k in range(12))
 
 
 def test_chunks_partition_the_words():
