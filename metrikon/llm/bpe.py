@@ -1,12 +1,11 @@
 """Byte-level BPE of a public vocabulary, as Spark expressions.
 
-A text is cut by the tokenizer's pattern. A word that is itself in the vocabulary is one lookup; any other is
-folded: its bytes merge pair by pair, the best-ranked pair first, until no pair has a rank. The rank map is a
-literal of the plan, an array of small maps addressed by the hash of the piece, so a lookup reads a handful of
-entries and no join or Python worker is needed. Frequent words that need merging are folded once, as distinct
-words, and become a second literal; both literals are bounded, by the vocabulary and by ``kept_words``.
-
-Bytes are handled as characters U+0000..U+00FF of a string, one for each byte.
+A text is cut by the tokenizer's pattern. A word that is itself in the vocabulary is one lookup. Every other distinct
+word is folded once, however often it occurs: its bytes merge pair by pair, the best-ranked pair first, until no pair
+has a rank. The rank map is a literal of the plan, an array of small buckets addressed by the hash of the piece, so
+a lookup reads a handful of entries and no join or Python worker is needed. The folded words then return to their
+texts: the most frequent of them as a second literal, so that no word is hot, all others by a join. Both
+literals are bounded, by the vocabulary and by ``kept_words``.
 """
 
 from __future__ import annotations
@@ -22,13 +21,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from metrikon.session import staged
+
 # Fixed value: the pattern that cuts a text into words, with Unicode's white space.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 NONE = 2**31 - 1
-#: Words of more characters go to a merge with a heap, for the fold's work grows with the square of a word's length.
-LONGEST = 40
-LONG = rf"(?U)[^\s]{{{LONGEST}}}|\s{{{LONGEST}}}"
+#: Distinct words of more bytes merge by a heap instead, for the fold's work grows with the square of a word's length.
+LONGEST = 4096
 
 
 def load_ranks(path: str = VOCABULARY) -> dict[bytes, int]:
@@ -37,30 +37,26 @@ def load_ranks(path: str = VOCABULARY) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f) if a}
 
 
-def _bucket(piece: str, n: int) -> int:
-    """As ``pmod(xxhash64(piece), n)`` in Spark."""
-    h = xxhash.xxh64_intdigest(piece.encode("utf-8"), seed=42)
-    return (h - (1 << 64) if h >> 63 else h) % n
+Buckets = tuple[Column, int]
 
 
-def literal_map(entries: dict[str, object], value: str, per_bucket: int = 3) -> tuple[Column, int]:
-    """(array of maps as one literal, number of maps) holding ``entries``; ``value`` is the SQL type of the values."""
-    n = max(1, len(entries) // per_bucket)
-    buckets: list[dict[str, object]] = [{} for _ in range(n)]
+def literal_map(entries: dict[bytes, object], value: str) -> Buckets:
+    """(array of buckets as one literal, number of buckets) holding ``entries``; ``value`` is the SQL type of the values."""
+    n = max(1, len(entries))
+    buckets: list[dict[str, list]] = [{"k": [], "v": []} for _ in range(n)]
     for k, v in entries.items():
-        buckets[_bucket(k, n)][k] = v
-    return F.from_json(F.lit(json.dumps(buckets)), f"array<map<string,{value}>>"), n
+        # As pmod(xxhash64(k), n) in Spark, whose hash is signed.
+        h = xxhash.xxh64_intdigest(k, seed=42)
+        bucket = buckets[(h - (1 << 64) if h >> 63 else h) % n]
+        bucket["k"].append(base64.b64encode(k).decode())
+        bucket["v"].append(v)
+    return F.from_json(F.lit(json.dumps(buckets)), f"array<struct<k:array<binary>,v:array<{value}>>>"), n
 
 
-def lookup(buckets: tuple[Column, int], key: Column) -> Column:
-    """Value of ``key``, null if there is none."""
+def lookup(buckets: Buckets, key: Column) -> Column:
+    """Value of the bytes ``key``, null if there is none."""
     table, n = buckets
-    return F.try_element_at(F.get(table, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")), key)
-
-
-def as_bytes(word: Column) -> Column:
-    """The UTF-8 bytes of a word as characters U+0000..U+00FF."""
-    return F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
+    return _let(F.get(table, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")), lambda b: F.get(b["v"], (F.array_position(b["k"], key) - 1).cast("int")))
 
 
 def _let(value: Column, body) -> Column:  # noqa: ANN001
@@ -68,22 +64,33 @@ def _let(value: Column, body) -> Column:  # noqa: ANN001
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def fold_merges(raw: Column, ranks: tuple[Column, int]) -> Column:
-    """Ids of a word (as bytes): the fold of ranked merges over its array of pieces."""
-    start = F.struct(F.transform(F.sequence(F.lit(1), F.length(raw)), lambda i: F.substring(raw, i, F.lit(1))).alias("p"), F.lit(False).alias("done"))
+def fold_merges(word: Column, ranks: Buckets) -> Column:
+    """Ids of a word of two bytes or more: the fold of ranked merges over its array of pieces.
+
+    Beside the pieces goes an array of ranks, whose entry j is that of pieces j - 1 and j, with an entry that has none at
+    either end; a merge looks up the two pairs that are new.
+    """
+    size = F.length(word)
+    rank = lambda piece: F.coalesce(lookup(ranks, piece), F.lit(NONE))
+    none = F.array(F.lit(NONE))
+    pieces = F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(word, i, F.lit(1)))
+    paired = F.transform(F.sequence(F.lit(1), size - 1), lambda i: rank(F.substring(word, i, F.lit(2))))
+    start = F.struct(pieces.alias("p"), F.concat(none, paired, none).alias("r"))
 
     def merge(s: Column, _: Column) -> Column:
-        def best(found: Column) -> Column:
-            i = F.array_position(found, F.array_min(found)).cast("int")
-            joined = F.array(F.concat(F.get(s["p"], i - 1), F.get(s["p"], i)))
-            merged = F.concat(F.slice(s["p"], F.lit(1), i - 1), joined, F.slice(s["p"], i + 2, F.size(s["p"])))
-            return F.when(F.array_min(found) == NONE, F.struct(s["p"].alias("p"), F.lit(True).alias("done"))).otherwise(F.struct(merged.alias("p"), F.lit(False).alias("done")))
+        p, r = s["p"], s["r"]
 
-        pair = lambda i: F.concat(F.get(s["p"], i - 1), F.get(s["p"], i))
-        scored = F.transform(F.sequence(F.lit(1), F.size(s["p"]) - 1), lambda i: F.coalesce(_let(pair(i), lambda x: lookup(ranks, x)), F.lit(NONE)))
-        return F.when(s["done"] | (F.size(s["p"]) < 2), s).otherwise(_let(scored, best))
+        def at(j: Column) -> Column:
+            def put(new: Column) -> Column:
+                around = F.array(rank(F.concat(F.get(p, j - 2), new)), rank(F.concat(new, F.get(p, j + 1))))
+                merged = F.concat(F.slice(p, F.lit(1), j - 1), F.array(new), F.slice(p, j + 2, F.size(p)))
+                return F.struct(merged.alias("p"), F.concat(F.slice(r, F.lit(1), j - 1), around, F.slice(r, j + 3, F.size(r))).alias("r"))
 
-    done = F.aggregate(F.sequence(F.lit(1), F.length(raw)), start, merge)
+            return _let(F.concat(F.get(p, j - 1), F.get(p, j)), put)
+
+        return _let(F.array_min(r), lambda best: F.when(best == NONE, s).otherwise(_let((F.array_position(r, best) - 1).cast("int"), at)))
+
+    done = F.aggregate(F.sequence(F.lit(1), size - 1), start, merge)
     return F.transform(done["p"], lambda p: lookup(ranks, p))
 
 
@@ -117,67 +124,66 @@ def merge_bytes(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in piece if p is not None]
 
 
-def _words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
+def folded_words(words: DataFrame, ranks: Buckets, by_piece: dict[bytes, int], longest: int = LONGEST) -> DataFrame:
+    """``words`` (w, count), distinct and each of two bytes or more, with their ``ids``."""
+    spark = words.sparkSession
+    size = F.length(F.col("w").cast("binary"))
+    short = words.where(size <= longest).select("w", "count", _let(ranks[0], lambda t: fold_merges(F.col("w").cast("binary"), (t, ranks[1]))).alias("ids"))
+    shared = spark.sparkContext.broadcast(by_piece)
+    out = T.StructType([words.schema["w"], words.schema["count"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
+    def heaped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(ids=[merge_bytes(w.encode("utf-8"), shared.value) for w in b["w"]])
 
-def frequent_words(texts: DataFrame, text_col: str, ranks: tuple[Column, int], kept_words: int, least: int) -> dict[str, list[int]]:
-    """The ``kept_words`` most frequent words that need merging, in at least ``least`` places, each folded once."""
-    words = texts.select(F.explode(F.transform(_words(F.col(text_col)), as_bytes)).alias("w")).where(F.length("w") > 1)
-    counted = words.groupBy("w").count().where(F.col("count") >= least).where(lookup(ranks, F.col("w")).isNull())
-    top = counted.orderBy(F.desc("count"), "w").limit(kept_words)
-    return {r["w"]: r["ids"] for r in top.repartition(F.col("w")).select("w", _let(ranks[0], lambda t: fold_merges(F.col("w"), (t, ranks[1]))).alias("ids")).collect()}
+    return short.unionByName(words.where(size > longest).mapInPandas(heaped, out))
 
 
-def encode(df: DataFrame, id_col: str, text_col: str, vocabulary: str = VOCABULARY, kept_words: int = 8192, least: int = 16) -> DataFrame:
+def encode(df: DataFrame, id_col: str, text_col: str, vocabulary: str = VOCABULARY, kept_words: int = 8192, longest: int = LONGEST) -> DataFrame:
     """(id_col, ids): the token ids of every text, without special tokens, which count as ordinary text.
 
     Null and empty texts give an empty list; blank texts are encoded as they stand; one row for each row of
     ``df``, repeated rows included; further columns are ignored; an empty table gives no row.
     """
     by_piece = load_ranks(vocabulary)
-    ranks = literal_map({k.decode("latin-1"): v for k, v in by_piece.items()}, "int")
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    long = F.coalesce(F.col("text").rlike(LONG), F.lit(False))
-    short = rows.where(~long)
-    often = frequent_words(short, "text", ranks, kept_words, least)
-    known = literal_map(often, "array<int>") if often else None
-
-    # The tables are bound once, so that the plan holds one literal of each.
-    tables = F.struct(ranks[0].alias("ranks"), *([known[0].alias("often")] if known else []))
-
-    def of_text(t: Column) -> Column:
-        pieces = (t["ranks"], ranks[1])
-
-        def of_bytes(raw: Column) -> Column:
-            whole = _let(lookup(pieces, raw), lambda i: F.when(i.isNotNull(), F.array(i)))
-            frequent = [lookup((t["often"], known[1]), raw)] if known else []
-            return F.coalesce(whole, *frequent, fold_merges(raw, pieces))
-
-        return F.flatten(F.transform(_words(F.col("text")), lambda w: _let(as_bytes(w), of_bytes)))
-
-    none = F.array().cast("array<int>")
-    folded = short.select("id", F.coalesce(_let(tables, of_text), none).alias("ids"))
-    shared = df.sparkSession.sparkContext.broadcast(by_piece)
-    out = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-
-    def heaped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"id": b["id"], "ids": [[i for w in words for i in merge_bytes(w.encode("utf-8"), shared.value)] for words in b["words"]]})
-
-    merged = rows.where(long).select("id", _words(F.col("text")).alias("words")).mapInPandas(heaped, out)
-    return folded.unionByName(merged).withColumnRenamed("id", id_col)
+    ranks = literal_map(by_piece, "int")
+    words = F.regexp_extract_all(F.col(text_col), F.lit(PATTERN), F.lit(0))
+
+    def piece(t: Column):  # noqa: ANN202
+        def of(w: Column) -> Column:
+            return _let(lookup((t, ranks[1]), w.cast("binary")), lambda i: F.struct(i.alias("i"), F.when(i.isNull(), w).alias("w")))
+
+        return of
+
+    # The only pass over the texts: words that are one token get their id, the others stay as they are.
+    parts = _let(ranks[0], lambda t: F.transform(words, piece(t)))
+    cut = staged(df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), parts.alias("parts")), "words")
+    open_words = F.transform(F.filter("parts", lambda x: x["w"].isNotNull()), lambda x: x["w"])
+    counted = cut.select(F.explode(open_words).alias("w")).groupBy("w").count()
+    folded = staged(folded_words(counted, ranks, by_piece, longest), "folded")
+    # Frequent words, a bounded number, go to all tasks; each other word is rare by count and meets its texts in a join.
+    top = folded.orderBy(F.desc("count"), "w").limit(kept_words).collect()
+    often = literal_map({r["w"].encode("utf-8"): list(r["ids"]) for r in top}, "array<int>")
+    kept = lambda t, w: lookup((t, often[1]), w.cast("binary"))
+    rare = cut.select("row", F.explode(F.array_distinct(_let(often[0], lambda t: F.filter(open_words, lambda w: kept(t, w).isNull())))).alias("w"))
+    mapped = rare.join(folded.select("w", "ids"), "w").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("w", "ids"))).alias("rare"))
+    one = lambda x: F.when(x["i"].isNotNull(), F.array(x["i"]))
+    ids = _let(often[0], lambda t: F.flatten(F.transform("parts", lambda x: F.coalesce(one(x), kept(t, x["w"]), F.try_element_at("rare", x["w"])))))
+    return cut.join(mapped, "row", "left").select(F.col("id").alias(id_col), F.coalesce(ids, F.array().cast("array<int>")).alias("ids"))
 
 
 def decode(df: DataFrame, ids_col: str, out_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """``df`` with ``out_col``: the text of the ids, their binary pieces put together. Null ids give null, none the empty text."""
+    """``df`` with ``out_col``: the text of the ids, their binary pieces put together. Null ids give null, none the empty text.
+
+    The pieces are joined in hexadecimal, the form in which a list of binaries can be joined in one go.
+    """
     by_piece = load_ranks(vocabulary)
     pieces = [""] * (max(by_piece.values()) + 1)
     for k, v in by_piece.items():
-        pieces[v] = k.decode("latin-1")
+        pieces[v] = k.hex()
     table = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
     joined = F.array_join(F.transform(ids_col, lambda i: F.get(table, i)), "")
-    return df.withColumn(out_col, F.decode(F.encode(joined, "ISO-8859-1"), "UTF-8"))
+    return df.withColumn(out_col, F.decode(F.unhex(joined), "UTF-8"))
 
 
 def corpus_counts(encoded: DataFrame, ids_col: str = "ids") -> DataFrame:

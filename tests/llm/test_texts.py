@@ -18,11 +18,12 @@ def tokenizer():
     return t
 
 
-def test_encoding(spark, tokenizer):
+@pytest.mark.parametrize("kept,longest", [(8192, bpe.LONGEST), (3, 24)])
+def test_encoding(spark, tokenizer, kept, longest):
     r = random.Random(2)
-    texts = TEXTS + ["".join(r.choice("ab é1 \n.ü") for _ in range(r.randrange(60))) for _ in range(40)] + ["Quevrumael kept it"] * 30
+    texts = TEXTS + ["".join(r.choice("ab é1 \n.ü") for _ in range(r.randrange(60))) for _ in range(40)] + ["Quevrumael kept it"] * 30 + ["=" * 5000 + " " + "qz" * 60, "абвгд" * 50]
     df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, ids string")
-    got = bpe.encode(df, "doc_id", "text", least=2)
+    got = bpe.encode(df, "doc_id", "text", kept_words=kept, longest=longest)
     rows = {r["doc_id"]: list(r["ids"]) for r in got.collect()}
     want = tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
     assert [rows[i] for i in range(len(texts))] == [w.ids for w in want]
