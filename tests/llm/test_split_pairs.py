@@ -104,10 +104,11 @@ CASES = [
 ]
 
 
-def test_defects(spark):
+@pytest.mark.parametrize("limit", [0, 100_000])
+def test_defects(spark, limit):
     rows = [(f"q{i}", q, c, a, x, "clash") for i, (c, q, a, x, _) in enumerate(CASES)] + [("q2", Q, "direct_fact", None, CONTEXT, "clash")]
     df = spark.createDataFrame(rows, "query_id string, query_text string, category string, expected_answer string, expected_context string, evidence string")
-    got = {r["query_id"]: r["defect"] for r in pairs.defective_pairs(df).collect()}
+    got = {r["query_id"]: r["defect"] for r in pairs.defective_pairs(df, broadcast_rows=limit, salts=3).collect()}
     assert got == {f"q{i}": w for i, (*_, w) in enumerate(CASES) if w}
     assert pairs.defective_pairs(df.where("false")).count() == 0
 
@@ -121,6 +122,18 @@ def test_neighbours_decide_beside_a_context(spark):
     assert got == {f"q{i}": "truncated" for i, (*_, cut) in enumerate(cases) if cut}
 
 
+def test_sentences_of_other_contexts_show_cut_answers(spark):
+    """No context of its own: the sentence it breaks off from stands in the context of another row."""
+    rows = [("q0", "How long?", "direct_fact", "The old mill keeps grain for 40", None), ("q1", "Who signs?", "direct_fact", "the northern crew", CONTEXT), ("q2", "Whole?", "direct_fact", CONTEXT.split(". ")[0], None)]
+    df = spark.createDataFrame(rows, "query_id string, query_text string, category string, expected_answer string, expected_context string")
+    assert [(r["query_id"], r["evidence"]) for r in pairs.defective_pairs(df).collect()] == [("q0", "a longer text begins with it")]
+
+
+def test_open_marks():
+    assert pairs.is_open('it shows "no "record') and pairs.is_open('it shows "no') and pairs.is_open("a (b")
+    assert not pairs.is_open('it shows "no record" then') and not pairs.is_open("a (b)") and not pairs.is_open('5" pipes and 6" pipes')
+
+
 def test_neighbours(spark):
     r = random.Random(3)
     texts = ["".join(r.choice("ab") for _ in range(r.randrange(1, 9))) for _ in range(300)] + [None, "ab", "ab"]
