@@ -23,10 +23,14 @@ from pyspark.sql import types as T
 
 from metrikon.session import staged
 
-# Fixed value: the pattern that cuts a text into words, with Unicode's white space.
-PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Fixed value: the characters of Unicode's White_Space property.
+_SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+# Fixed value: the pattern that cuts a text into words.
+PATTERN = rf"'(?:[stmd]|re|ve|ll)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 NONE = 2**31 - 1
+#: Stands in a list of ids for a word whose ids are still to come.
+GAP = -1
 #: Distinct words of more bytes merge by a heap instead, for the fold's work grows with the square of a word's length.
 LONGEST = 4096
 
@@ -149,27 +153,40 @@ def encode(df: DataFrame, id_col: str, text_col: str, vocabulary: str = VOCABULA
     ranks = literal_map(by_piece, "int")
     words = F.regexp_extract_all(F.col(text_col), F.lit(PATTERN), F.lit(0))
 
-    def piece(t: Column):  # noqa: ANN202
-        def of(w: Column) -> Column:
-            return _let(lookup((t, ranks[1]), w.cast("binary")), lambda i: F.struct(i.alias("i"), F.when(i.isNull(), w).alias("w")))
+    # The only pass over the texts. Words that are one token become its id; the others leave a gap and stay in order.
+    def cut(words: Column) -> Column:
+        found = _let(ranks[0], lambda t: F.transform(words, lambda w: lookup((t, ranks[1]), w.cast("binary"))))
+        return _let(found, lambda ids: F.struct(F.transform(ids, lambda i: F.coalesce(i, F.lit(GAP))).alias("ids"), F.filter(words, lambda w, k: F.get(ids, k).isNull()).alias("open")))
 
-        return of
-
-    # The only pass over the texts: words that are one token get their id, the others stay as they are.
-    parts = _let(ranks[0], lambda t: F.transform(words, piece(t)))
-    cut = staged(df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), parts.alias("parts")), "words")
-    open_words = F.transform(F.filter("parts", lambda x: x["w"].isNotNull()), lambda x: x["w"])
-    counted = cut.select(F.explode(open_words).alias("w")).groupBy("w").count()
+    texts = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), _let(words, cut).alias("t"))
+    texts = staged(texts.select("row", "id", "t.ids", "t.open"), "words")
+    counted = texts.select(F.explode("open").alias("w")).groupBy("w").count()
     folded = staged(folded_words(counted, ranks, by_piece, longest), "folded")
     # Frequent words, a bounded number, go to all tasks; each other word is rare by count and meets its texts in a join.
     top = folded.orderBy(F.desc("count"), "w").limit(kept_words).collect()
     often = literal_map({r["w"].encode("utf-8"): list(r["ids"]) for r in top}, "array<int>")
-    kept = lambda t, w: lookup((t, often[1]), w.cast("binary"))
-    rare = cut.select("row", F.explode(F.array_distinct(_let(often[0], lambda t: F.filter(open_words, lambda w: kept(t, w).isNull())))).alias("w"))
-    mapped = rare.join(folded.select("w", "ids"), "w").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("w", "ids"))).alias("rare"))
-    one = lambda x: F.when(x["i"].isNotNull(), F.array(x["i"]))
-    ids = _let(often[0], lambda t: F.flatten(F.transform("parts", lambda x: F.coalesce(one(x), kept(t, x["w"]), F.try_element_at("rare", x["w"])))))
-    return cut.join(mapped, "row", "left").select(F.col("id").alias(id_col), F.coalesce(ids, F.array().cast("array<int>")).alias("ids"))
+    pieces = _let(often[0], lambda t: F.transform("open", lambda w: lookup((t, often[1]), w.cast("binary"))))
+    rare = _let(pieces, lambda p: F.filter("open", lambda w, k: F.get(p, k).isNull()))
+    filled = fill("ids", F.transform(pieces, lambda x: F.coalesce(x, F.array(F.lit(GAP)))))
+    met = texts.select("row", F.posexplode(rare).alias("at", "w")).join(folded.select("w", F.col("ids").alias("piece")), "w")
+    mapped = met.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("pieces"))
+    whole = texts.select("row", "id", F.when(F.size("open") > 0, filled).otherwise(F.col("ids")).alias("ids")).join(mapped, "row", "left")
+    ids = F.when(F.col("pieces").isNull(), F.col("ids")).otherwise(fill("ids", F.col("pieces.piece")))
+    return whole.select(F.col("id").alias(id_col), F.coalesce(ids, F.array().cast("array<int>")).alias("ids"))
+
+
+def fill(ids: str, pieces: Column) -> Column:
+    """The array ``ids`` with its gaps filled by ``pieces`` in order, in time linear in both."""
+    gaps = F.filter(F.sequence(F.lit(0), F.size(ids)), lambda i: (F.get(ids, i) == F.lit(GAP)) | (i == F.size(ids)))
+
+    def parts(at: Column) -> Column:
+        def part(end: Column, k: Column) -> Column:
+            start = F.coalesce(F.get(at, k - 1) + 1, F.lit(0))
+            return F.concat(F.slice(ids, start + 1, end - start), F.coalesce(F.get(pieces, k), F.array().cast("array<int>")))
+
+        return F.flatten(F.transform(at, part))
+
+    return _let(gaps, parts)
 
 
 def decode(df: DataFrame, ids_col: str, out_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
