@@ -2,10 +2,11 @@
 
 Outside of letters a table is enough: width, kinds of single spaces, invisible characters. For runs of letters
 the vocabulary of the corpus decides: the runs in one script are put into tries, and a weighted edit automaton
-walks a trie with the letters of a suspect run, at no cost from a letter to one drawn like it and past an
-ignorable character. Of the spellings it reaches at cost zero, a Latin one wins, then the most frequent, then
-the smallest; if it reaches none, the run is rewritten by table. Tries are built by slices of the vocabulary
-that agree in a hash no free edit changes, so none holds more than a slice.
+walks a trie with the letters of a suspect run: nothing is paid from a letter to one drawn like it or past an
+ignorable character, 1 for any other change. Letters drawn like several others (a palochka is an I or an l) are what
+the trie settles: the vocabulary tells which of them makes a word. Of the spellings reached at no cost, a
+Latin one wins, then the most frequent, then the smallest; if none is reached, the run is rewritten by table. Tries
+hold slices of the vocabulary in order of a key that no free edit changes, so none grows with the data.
 """
 
 from __future__ import annotations
@@ -17,11 +18,13 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from metrikon.llm import codepoints
+from metrikon.llm.joins import skew_safe_join
 from metrikon.session import staged
 
 # Letters drawn alike, foreign ones first, the Latin ones they look like second.
@@ -32,6 +35,8 @@ LATIN = ("ɡɑı", "gai")
 CYRILLIC_CASELESS = ("авекмнорстухѕіјһԁӏԛԝү", "abekmhopctyxsijhdlqwy")
 GREEK_CASELESS = ("αβεζηικμνορτυχϲϳ", "abezhikmnoptyxcj")
 INVISIBLE = (0xAD, 0x34F, 0x61C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), 0xFEFF)
+# Letters drawn like a second Latin one.
+ALSO = {"Ӏ": "l", "ӏ": "I"}
 MARKS = "̀-ͯ᪰-᫿᷀-᷿⃐-⃿"
 RUN = re.compile(f"(?:[^\\W\\d_]|[{MARKS}])+")
 
@@ -63,6 +68,22 @@ def base_form(text: str) -> str:
     return text if text.isascii() else unicodedata.normalize("NFC", text.translate(_BASE))
 
 
+def base_forms(texts: list[str | None]) -> list[str | None]:
+    """``base_form`` of many texts at once."""
+    out = list(texts)
+    for start, stop in codepoints.blocks(texts):
+        at = [k for k in range(start, stop) if texts[k] and not texts[k].isascii()]
+        plain = [k for k in at if codepoints.SEP not in texts[k]]
+        if plain:
+            form = codepoints.composed(codepoints.translated(codepoints.SEP.join(texts[k] for k in plain), _arrays()[0]))
+            for k, f in zip(plain, form.split(codepoints.SEP), strict=True):
+                out[k] = f
+        for k in at:
+            if codepoints.SEP in texts[k]:
+                out[k] = base_form(texts[k])
+    return out
+
+
 def script(c: str) -> str:
     """L, C or G of a letter, else empty."""
     o = ord(c)
@@ -104,7 +125,7 @@ def one_script(run: str) -> bool:
 
 
 class Trie:
-    """Words with their counts, walked by a weighted edit automaton in which only free edits are allowed."""
+    """Words with their counts, walked by a weighted edit automaton."""
 
     def __init__(self) -> None:
         self.root: dict = {}
@@ -118,44 +139,74 @@ class Trie:
     @staticmethod
     def cost(a: str, b: str) -> int:
         """0 from a letter to itself or one drawn like it, 1 to any other."""
-        return 0 if a == b or _TO_LATIN.get(ord(a), a) == _TO_LATIN.get(ord(b), b) else 1
-
-    def reached(self, run: str) -> list[tuple[str, int]]:
-        """(word, count) of all words at cost zero of ``run``."""
-        states = [self.root]
+        if a == b:
+            return 0
+        one, two = _TO_LATIN.get(ord(a), a), _TO_LATIN.get(ord(b), b)
+        return 0 if one == two or ALSO.get(a, one) == two or one == ALSO.get(b, two) else 1
+
+    def reached(self, run: str, limit: int = 0) -> list[tuple[str, int, int]]:
+        """(word, count, cost) of all words at a cost of at most ``limit`` from ``run``."""
+        states = self._filled({id(self.root): (self.root, 0)}, limit)
         for c in unicodedata.normalize("NFD", run):
             if ord(c) in _BASE and _BASE[ord(c)] is None:
                 continue
-            states = [child for node in states for edge, child in node.items() if edge and self.cost(c, edge) == 0]
+            after: dict[int, tuple[dict, int]] = {}
+            for node, paid in states.values():
+                for edge, child in node.items():
+                    if edge:
+                        self._offer(after, child, paid + self.cost(c, edge), limit)
+                self._offer(after, node, paid + 1, limit)
+            states = self._filled(after, limit)
             if not states:
                 return []
-        return [node[""] for node in states if "" in node]
+        return [(*node[""], paid) for node, paid in states.values() if "" in node]
 
-
-def canonical(run: str, reached: list[tuple[str, int]]) -> str:
+    @staticmethod
+    def _offer(states: dict[int, tuple[dict, int]], node: dict, paid: int, limit: int) -> bool:
+        """Keep the cheapest way to a node within the limit."""
+        if paid > limit or (id(node) in states and states[id(node)][1] <= paid):
+            return False
+        states[id(node)] = (node, paid)
+        return True
+
+    def _filled(self, states: dict[int, tuple[dict, int]], limit: int) -> dict[int, tuple[dict, int]]:
+        """``states`` and those behind letters that the run leaves out, each at 1."""
+        todo = list(states.values()) if limit else []
+        while todo:
+            node, paid = todo.pop()
+            todo += [(child, paid + 1) for edge, child in node.items() if edge and self._offer(states, child, paid + 1, limit)]
+        return states
+
+
+def canonical(run: str, reached: list[tuple[str, int, int]]) -> str:
     """Latin before others, then the most frequent, then the smallest; by table if nothing was reached."""
     if not reached:
         return table_form(run)
     return min(reached, key=lambda x: (script(x[0][0]) != "L", -x[1], x[0]))[0]
 
 
+def slice_key(run: str) -> str:
+    """What no free edit of a run changes: its skeleton, letters that share a drawing taken as one."""
+    return skeleton(run).replace("I", "l")
+
+
+#: A letter without which no run is suspect: Greek, Cyrillic, or a Latin one drawn like another.
+_ODD = re.compile("[" + LATIN[0] + "\u0370-\u052f\u1c80-\u1c8f\u1f00-\u1fff\u2de0-\u2dff\ua640-\ua69f]")
+
+
 def based(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text, form, suspects): base form and distinct suspect runs of each text, null for null."""
+    """(id, text, form, suspects): base form, null where it is the text itself, and distinct suspect runs of each text."""
     id_type = df.schema[id_col].dataType
     schema = T.StructType([T.StructField("id", id_type), T.StructField("text", T.StringType()), T.StructField("form", T.StringType()), T.StructField("suspects", T.ArrayType(T.StringType()))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, bool] = {}
         for b in batches:
-            forms, suspects = [], []
-            for text in b["text"]:
-                if text is None:
-                    forms.append(None)
-                    suspects.append([])
-                    continue
-                form = base_form(text)
+            texts = b.column("text").to_pylist()
+            forms, suspects = base_forms(texts), []
+            for form in forms:
                 found = []
-                if not form.isascii():
+                if form and not form.isascii() and _ODD.search(form):
                     for r in set(RUN.findall(form)):
                         if not r.isascii():
                             odd = known.get(r)
@@ -165,15 +216,19 @@ def based(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                                 odd = known[r] = is_suspect(r)
                             if odd:
                                 found.append(r)
-                forms.append(form)
                 suspects.append(sorted(found))
-            yield pd.DataFrame({"id": b["id"], "text": b["text"], "form": forms, "suspects": suspects})
+            changed = [None if f == t else f for f, t in zip(forms, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text"), pa.array(changed, pa.string()), pa.array(suspects, pa.list_(pa.string()))], names=schema.names)
+
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
 
+def spellings(base: DataFrame, slice_rows: int = 20_000) -> DataFrame:
+    """(run, spelling) of every suspect run whose canonical spelling differs from it; ``base`` has whole forms.
 
-def spellings(base: DataFrame, slices: int) -> DataFrame:
-    """(run, spelling) of every suspect run whose canonical spelling differs from it."""
+    The runs are sorted by ``slice_key`` in the partitions of its hash; a trie takes about ``slice_rows`` of them, up
+    to where the key changes.
+    """
     runs = F.regexp_extract_all("form", F.lit(rf"[\p{{L}}{MARKS}]+"), F.lit(0))
     vocabulary = base.select(F.explode(runs).alias("run")).groupBy("run").count()
     suspects = base.select(F.explode("suspects").alias("run")).distinct().withColumn("count", F.lit(-1).cast("long"))
@@ -182,14 +237,13 @@ def spellings(base: DataFrame, slices: int) -> DataFrame:
         for b in batches:
             keep = [n < 0 or one_script(r) for r, n in zip(b["run"], b["count"], strict=True)]
             b = b[keep]
-            yield pd.DataFrame({"run": b["run"], "count": b["count"], "key": [skeleton(r) for r in b["run"]]})
+            yield pd.DataFrame({"run": b["run"], "count": b["count"], "key": [slice_key(r) for r in b["run"]]})
 
     rows = vocabulary.unionByName(suspects).mapInPandas(keyed, "run string, count long, key string")
-    rows = rows.withColumn("slice", F.pmod(F.xxhash64("key"), F.lit(slices)).cast("int"))
     wanted = rows.where("count < 0").select("key").distinct()
-    rows = rows.join(wanted, "key", "left_semi")
+    rows = rows.join(wanted, "key", "left_semi").repartition("key").sortWithinPartitions("key")
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+    def walked(pdf: pd.DataFrame) -> pd.DataFrame:
         trie, out = Trie(), []
         for r, n in zip(pdf["run"], pdf["count"], strict=True):
             if n >= 0:
@@ -200,26 +254,34 @@ def spellings(base: DataFrame, slices: int) -> DataFrame:
                 out.append((r, s))
         return pd.DataFrame(out, columns=["run", "spelling"])
 
-    return rows.groupBy("slice").applyInPandas(walk, "run string, spelling string")
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for b in batches:
+            held = b if held is None else pd.concat((held, b), ignore_index=True)
+            if len(held) >= slice_rows:
+                last = held["key"] == held["key"].iloc[-1]
+                if not last.all():
+                    yield walked(held[~last])
+                    held = held[last]
+        if held is not None:
+            yield walked(held)
+
+    return rows.mapInPandas(walk, "run string, spelling string")
 
 
-def normalize_texts(df: DataFrame, id_col: str, text_col: str, slices: int | None = None, broadcast_rows: int = 100_000, salts: int = 16) -> DataFrame:
+def normalize_texts(df: DataFrame, id_col: str, text_col: str, slice_rows: int = 20_000, broadcast_rows: int = 100_000, salts: int = 16) -> DataFrame:
     """(id, text, form): every text with its consistent form; equal-looking texts have equal forms.
 
     Null gives null, empty stays empty; one row for each row of ``df``; further columns are ignored; an empty
     table gives no row. Spellings come from the texts given, so forms compare within one call. Rows of a null
     or repeated id are kept apart by a row number of their own.
     """
-    spark = df.sparkSession
-    base = staged(based(df, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "base")
+    stored = staged(based(df, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "base")
+    base = stored.withColumn("form", F.coalesce("form", "text"))
     odd = base.where(F.size("suspects") > 0)
-    table = staged(spellings(base, slices or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))), "spellings")
-    pairs = odd.select("row", F.explode("suspects").alias("run"))
-    if table.count() <= broadcast_rows:
-        found = pairs.join(F.broadcast(table), "run")
-    else:  # a run may stand in a third of all texts: both sides are salted
-        spread = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        found = pairs.withColumn("salt", F.pmod(F.col("row"), F.lit(salts)).cast("int")).join(spread, ["run", "salt"])
+    table = staged(spellings(base, slice_rows), "spellings")
+    # A run may stand in a third of all texts.
+    found = skew_safe_join(odd.select("row", F.explode("suspects").alias("run")), table, ["run"], "row", "inner", broadcast_rows, salts)
     found = found.groupBy("row").agg(F.collect_list(F.struct("run", "spelling")).alias("edits"))
 
     def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -232,27 +294,29 @@ def normalize_texts(df: DataFrame, id_col: str, text_col: str, slices: int | Non
                 forms.append(form)
             yield pd.DataFrame({"id": b["id"], "text": b["text"], "form": forms})
 
-    out = T.StructType([base.schema["id"], base.schema["text"], base.schema["form"]])
+    out = T.StructType([stored.schema["id"], stored.schema["text"], stored.schema["form"]])
     rewritten = odd.join(found, "row", "left").select("id", "text", "form", "edits").mapInPandas(rewrite, out)
     return base.where(F.size("suspects") <= 0).select("id", "text", "form").unionByName(rewritten)
 
 
-def lookalike_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def lookalike_pairs(df: DataFrame, id_col: str, text_col: str, broadcast_rows: int = 100_000, salts: int = 16) -> DataFrame:
     """(id_a, id_b), id_a < id_b: texts that look alike but are not the same characters.
 
     Null, empty and invisible texts (nothing but spaces and ignorable characters) take no part. Exact copies
     are no pair of each other, and each of them is paired with every text that looks like it: the pairs are
     found between distinct texts, then given to their members. Repeated rows give one row.
     """
-    forms = normalize_texts(df, id_col, text_col).where(F.regexp_replace("form", r"(?U)\s+", "") != "")
+    forms = normalize_texts(df, id_col, text_col, broadcast_rows=broadcast_rows, salts=salts).where(F.col("form").rlike(r"(?U)\S"))
     members = staged(forms.where("id IS NOT NULL").select("id", F.md5("form").alias("key"), F.md5("text").alias("exact")).distinct(), "forms")
     classes = members.select("key", "exact").distinct()
     several = classes.groupBy("key").count().where("count > 1").select("key")
     some = classes.join(several, "key", "left_semi")
     linked = some.select("key", F.col("exact").alias("e1")).join(some.select("key", F.col("exact").alias("e2")), "key").where("e1 < e2").select("key", "e1", "e2")
-    one = members.select(F.col("id").alias("x"), "key", F.col("exact").alias("e1"))
+    linked = staged(linked, "linked")
+    # A boilerplate text may have a third of all rows as its copies.
+    one = skew_safe_join(members.select(F.col("id").alias("x"), "key", F.col("exact").alias("e1")), linked, ["key", "e1"], "x", "inner", broadcast_rows, salts)
     two = members.select(F.col("id").alias("y"), "key", F.col("exact").alias("e2"))
-    pairs = linked.join(one, ["key", "e1"]).join(two, ["key", "e2"]).where("x <> y")
+    pairs = one.join(two, ["key", "e2"]).where("x <> y")
     return pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 

@@ -63,28 +63,70 @@ def test_forms_by_table():
     assert lookalike.table_form("Пoиск") == "Поиск" and lookalike.table_form("spаce") == "space"
 
 
+def test_forms_of_many_texts():
+    texts = [t for pair in SAME + APART for t in pair] + TEXTS + ["a\x00ｂ", "￣x"]
+    assert lookalike.base_forms(texts) == [t if t is None else lookalike.base_form(t) for t in texts]
+
+
 def test_trie():
     trie = lookalike.Trie()
-    for w, n in (("space", 5), ("spacé", 1), ("spice", 9), ("сор", 3)):
+    for w, n in (("space", 5), ("spacé", 1), ("spice", 9), ("сор", 3)):
         trie.add(w, n)
-    assert trie.reached("spа​ce") == [("space", 5)]
-    assert trie.reached("cop") == [("сор", 3)] and trie.reached("spac") == [] and trie.reached("spacer") == []
-    assert lookalike.canonical("cоp", [("сор", 3), ("cop", 1)]) == "cop"
+    assert trie.reached("spа​ce") == [("space", 5, 0)]
+    assert trie.reached("cop") == [("сор", 3, 0)] and trie.reached("spac") == [] and trie.reached("spacer") == []
+    assert sorted(trie.reached("spаce", 1)) == [("space", 5, 0), ("spacé", 1, 1), ("spice", 9, 1)]
+    assert sorted(trie.reached("sрacer", 1)) == [("space", 5, 1), ("spacé", 1, 1)] and sorted(trie.reached("spac", 2)) == [("space", 5, 1), ("spacé", 1, 2), ("spice", 9, 2)]
+    assert lookalike.canonical("cоp", [("сор", 3, 0), ("cop", 1, 0)]) == "cop"
     assert lookalike.canonical("zоo", []) == "zoo"
 
 
+def test_trie_costs_are_edit_distances():
+    r = random.Random(9)
+    words = sorted({"".join(r.choice("abc") for _ in range(r.randrange(1, 6))) for _ in range(60)})
+    trie = lookalike.Trie()
+    for w in words:
+        trie.add(w, 1)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = following(row, i, x, b)
+        return row[-1]
+
+    def following(row, i, x, b):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+        return new
+
+    for _ in range(40):
+        run = "".join(r.choice("abc") for _ in range(r.randrange(1, 6)))
+        for limit in (0, 1, 2):
+            assert sorted(trie.reached(run, limit)) == sorted((w, 1, distance(run, w)) for w in words if distance(run, w) <= limit)
+
+
+def test_letters_drawn_like_two_others(spark):
+    """A palochka is an I or an l: equal skeletons miss the second, the vocabulary knows it."""
+    texts = ["the list is long", "the Ӏist is long", "In time", "Ӏn time", "Indeed lime", "ӏndeed lime"]
+    assert lookalike.skeleton("Ӏist") != "list"
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for rows in (2, 20_000):
+        forms = {r["id"]: r["form"] for r in lookalike.normalize_texts(df, "doc_id", "text", slice_rows=rows).collect()}
+        assert [forms[k] for k in range(6)] == [texts[k // 2 * 2] for k in range(6)]
+
+
 @pytest.mark.parametrize("limit", [0, 100_000])
 def test_lookalike_pairs(spark, limit):
     texts = [t for pair in SAME + APART for t in pair] + [SAME[0][0], None, "", " ​", " ", "х", "x", "сор вода", "сop вода", "cop вода"]
     df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, form string")
-    rows = lookalike.normalize_texts(df, "doc_id", "text", slices=3, broadcast_rows=limit, salts=2).collect()
+    rows = lookalike.normalize_texts(df, "doc_id", "text", slice_rows=7, broadcast_rows=limit, salts=2).collect()
     forms = {r["id"]: r["form"] for r in rows}
     assert len(rows) == len(texts) and forms[texts.index(None)] is None and forms[texts.index("")] == ""
     key = {i: lookalike.skeleton(lookalike.base_form(t)) for i, t in enumerate(texts) if t is not None}
     for a in key:
         for b in key:
             assert (forms[a] == forms[b]) == (key[a] == key[b])
-    got = [tuple(r) for r in lookalike.lookalike_pairs(df.union(df), "doc_id", "text").collect()]
+    got = [tuple(r) for r in lookalike.lookalike_pairs(df.union(df), "doc_id", "text", broadcast_rows=limit, salts=2).collect()]
     want = {(a, b) for a in key for b in key if a < b and key[a] == key[b] and texts[a] != texts[b] and key[a].strip()}
     assert len(got) == len(set(got)) and set(got) == want
     assert lookalike.lookalike_pairs(df.where("false"), "doc_id", "text").count() == 0
