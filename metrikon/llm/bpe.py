@@ -179,14 +179,14 @@ def fill(ids: str, pieces: Column) -> Column:
     """The array ``ids`` with its gaps filled by ``pieces`` in order, in time linear in both."""
     gaps = F.filter(F.sequence(F.lit(0), F.size(ids)), lambda i: (F.get(ids, i) == F.lit(GAP)) | (i == F.size(ids)))
 
-    def parts(at: Column) -> Column:
+    def parts(at: Column, by: Column) -> Column:
         def part(end: Column, k: Column) -> Column:
             start = F.coalesce(F.get(at, k - 1) + 1, F.lit(0))
-            return F.concat(F.slice(ids, start + 1, end - start), F.coalesce(F.get(pieces, k), F.array().cast("array<int>")))
+            return F.concat(F.slice(ids, start + 1, end - start), F.coalesce(F.get(by, k), F.array().cast("array<int>")))
 
         return F.flatten(F.transform(at, part))
 
-    return _let(gaps, parts)
+    return _let(pieces, lambda by: _let(gaps, lambda at: parts(at, by)))
 
 
 def decode(df: DataFrame, ids_col: str, out_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
