@@ -67,6 +67,11 @@ def p5_sample(spark: SparkSession, d: str) -> DataFrame:
     return sampling.sample(read(spark, d, "sample_targets"), read(spark, d, "generated_examples")).select("plan_id", F.col("id").alias("query_id"), "category")
 
 
+@query
+def p5_counts(spark: SparkSession, d: str) -> DataFrame:
+    return p5_sample(spark, d).groupBy("plan_id", "category").agg(F.count("*").alias("rows"), F.countDistinct("query_id").alias("ids"))
+
+
 @query
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return sampling.exhausted(read(spark, d, "sample_targets"), read(spark, d, "generated_examples"))

@@ -4,12 +4,15 @@ Each eligible id gets a uniform 64-bit priority from a hash of the id and the se
 is kept as cells by the leading bits of the priority, each with its count and its ids in order of priority: cells
 add up over partitions in any order, and the ids with the smallest priorities are a uniform sample of any size up
 to the category's. The rows are read once to fill the cells; a quota may be as large as its category, so a cell
-keeps all its ids. After the final counts a quota is trimmed from the cells: all below the one it ends in and the
-first ids of that cell, so no category, however large, is sorted in one task.
+keeps all its ids, and there are so many cells that one of them stays small. After the final counts a quota is trimmed
+from the cells: all below the one it ends in and the first ids of that cell, so no category, however large, is sorted
+in one task. A category from which the trim takes less than its target needs is exhausted.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,12 +42,17 @@ def merged_cells(one: DataFrame) -> DataFrame:
     return one.groupBy("category", "cell").agg(F.count("*").alias("count"), F.array_sort(F.collect_list(F.struct("priority", "id"))).alias("ids"))
 
 
-def final_counts(cells: DataFrame) -> dict[str, int]:
-    """Rows in each category's reservoir: one row a category comes to the driver."""
-    return {r["category"]: r["count"] for r in cells.groupBy("category").count().collect()}
+def cell_bits_for(rows: DataFrame, per_cell: int = 10_000) -> int:
+    """Leading bits of the priority such that a cell holds about ``per_cell`` ids even if one category holds all rows."""
+    return min(30, max(4, math.ceil(math.log2(max(1, rows.count()) / per_cell + 1))))
+
+
+def staged_reservoirs(rows: DataFrame, id_col: str, category_col: str, seed: int, cell_bits: int | None) -> DataFrame:
+    bits = cell_bits_for(rows) if cell_bits is None else cell_bits
+    return staged(merged_cells(reservoirs(rows, id_col, category_col, seed=seed, cell_bits=bits)), "reservoirs")
 
 
-#: Targets are a hand-made table and are broadcast; more of them are an error.
+#: Targets are a hand-made table and are broadcast up to this many; more of them are joined.
 MOST_TARGETS = 10_000
 
 
@@ -54,8 +62,6 @@ def quotas(targets: DataFrame, counts: DataFrame) -> DataFrame:
     A target needs max(min_rows, size * target_permille div 1000) rows; null numbers count as 0. A plan whose
     needs exceed its size keeps them: minima go before the size. Repeated targets count once.
     """
-    if targets.limit(MOST_TARGETS + 1).count() > MOST_TARGETS:
-        raise ValueError(f"more than {MOST_TARGETS} targets")
     total = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     t = targets.select("plan_id", "category", zero("target_permille").alias("target_permille"), zero("min_rows").alias("min_rows"), zero("sample_permille").alias("sample_permille")).distinct()
@@ -65,32 +71,37 @@ def quotas(targets: DataFrame, counts: DataFrame) -> DataFrame:
     return t.select("plan_id", "category", "size", "needed", "available", F.least("needed", "available").alias("quota"))
 
 
-def _counts(cells: DataFrame) -> DataFrame:
-    """Final counts as a table of at most one row a category, merged from the cells."""
-    spark = cells.sparkSession
-    schema = T.StructType([T.StructField("category", T.StringType()), T.StructField("count", T.LongType())])
-    return spark.createDataFrame(sorted(final_counts(cells).items()), schema)
+def trimmed(targets: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(quotas, ends): the targets with their quotas, and how many ids each plan takes of each cell of a category."""
+    per_cell = cells.select("category", "cell", "count")
+    q = quotas(targets, per_cell.groupBy("category").agg(F.sum("count").alias("count")))
+    few = targets.limit(MOST_TARGETS + 1).count() <= MOST_TARGETS
+    wanted = q.where("quota > 0").select("plan_id", "category", "quota")
+    # Where in the order of cells does each quota end?
+    before = F.sum("count").over(Window.partitionBy("plan_id", "category").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
+    ends = per_cell.join(F.broadcast(wanted) if few else wanted, "category").withColumn("before", F.coalesce(before, F.lit(0)))
+    return q, ends.where("before < quota").withColumn("take", F.least(F.col("count"), F.col("quota") - F.col("before"))).select("plan_id", "category", "cell", "take")
 
 
-def exhausted(targets: DataFrame, rows: DataFrame, id_col: str = "query_id", category_col: str = "category") -> DataFrame:
-    """(plan_id, category, needed, available) of the targets that cannot be met by the reservoirs' final counts."""
-    q = quotas(targets, _counts(reservoirs(rows, id_col, category_col)))
-    return q.where("available < needed").select("plan_id", "category", "needed", "available")
+def exhausted(targets: DataFrame, rows: DataFrame, id_col: str = "query_id", category_col: str = "category", seed: int = 7, cell_bits: int | None = None) -> DataFrame:
+    """(plan_id, category, needed, available) of the targets of which the trim of the reservoirs leaves less than needed.
+
+    ``available`` is what the trim takes, all of an exhausted category; nulls, repeated rows and empty tables as in ``sample``.
+    """
+    q, ends = trimmed(targets, staged_reservoirs(rows, id_col, category_col, seed, cell_bits))
+    taken = ends.groupBy("plan_id", "category").agg(F.sum("take").alias("taken"))
+    met = q.alias("q").join(taken.alias("t"), F.col("q.plan_id").eqNullSafe(F.col("t.plan_id")) & F.col("q.category").eqNullSafe(F.col("t.category")), "left")
+    out = met.select("q.plan_id", "q.category", "needed", F.coalesce("taken", F.lit(0)).alias("available"))
+    return out.where("available < needed")
 
 
-def sample(targets: DataFrame, rows: DataFrame, id_col: str = "query_id", category_col: str = "category", seed: int = 7, cell_bits: int = 12) -> DataFrame:
+def sample(targets: DataFrame, rows: DataFrame, id_col: str = "query_id", category_col: str = "category", seed: int = 7, cell_bits: int | None = None) -> DataFrame:
     """(plan_id, id, category): for each plan a uniform sample of its feasible quota in every category.
 
     Null ids and categories outside the eligible ones take no part; a repeated id is one row; an empty table
     gives an empty sample; columns with other names are ignored. Ties in priority go by id.
     """
-    cells = staged(merged_cells(reservoirs(rows, id_col, category_col, seed=seed, cell_bits=cell_bits)), "reservoirs")
-    per_cell = cells.select("category", "cell", "count")
-    counts = per_cell.groupBy("category").agg(F.sum("count").alias("count"))
-    q = quotas(targets, counts).where("quota > 0").select("plan_id", "category", "quota")
-    # At most 2**cell_bits cells a category: where in the order of cells does each quota end?
-    before = F.sum("count").over(Window.partitionBy("plan_id", "category").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
-    ends = per_cell.join(F.broadcast(q), "category").withColumn("before", F.coalesce(before, F.lit(0)))
-    ends = ends.where("before < quota").withColumn("take", F.least(F.col("count"), F.col("quota") - F.col("before")))
-    taken = cells.select("category", "cell", "ids").join(ends.select("plan_id", "category", "cell", "take"), ["category", "cell"])
+    cells = staged_reservoirs(rows, id_col, category_col, seed, cell_bits)
+    _, ends = trimmed(targets, cells)
+    taken = cells.select("category", "cell", "ids").join(ends, ["category", "cell"])
     return taken.select("plan_id", F.explode(F.slice("ids", 1, F.col("take").cast("int"))).alias("s"), "category").select("plan_id", "s.id", "category")

@@ -2,7 +2,8 @@
 
 A rolling hash over a window of words marks *landmarks*: positions that depend on the words around them
 only. A cut is the first landmark beyond the minimum size, moved to the nearest natural boundary (heading,
-paragraph, sentence, line) inside the permitted range. As landmarks do not depend on what lies far before
+paragraph, sentence, else line) inside the permitted range; only where there is none at all, a boundary below the
+minimum is taken rather than a cut between two words. As landmarks do not depend on what lies far before
 them, an edit changes the pieces around it and the later cuts fall into step again.
 """
 
@@ -107,10 +108,12 @@ def cuts(ranks: np.ndarray, marks: np.ndarray, config: SplitConfig) -> list[tupl
     places = np.flatnonzero(marks) + 1
     while n - start > room:
         lo, hi = start + config.min_words, start + room
+        if n - hi < config.min_words:  # what is left for the last piece is no less than the minimum either, where it fits
+            hi = max(lo, n - config.min_words)
         seen = places[np.searchsorted(places, lo) : np.searchsorted(places, hi, "right")]
         target = int(seen[0]) if len(seen) else hi
         end, kind = target, "word"
-        for options, low in ((natural, lo), (natural, start + 1), (lines, lo)):
+        for options, low in ((natural, lo), (lines, lo), (natural, start + 1)):
             near = options[np.searchsorted(options, low) : np.searchsorted(options, hi, "right")]
             if len(near):
                 distance = np.abs(near - target)

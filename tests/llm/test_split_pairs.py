@@ -56,6 +56,15 @@ def test_headings_and_white_space():
     assert split.pieces(None, SMALL) == split.pieces("", SMALL) == split.pieces("  \n", SMALL) == []
 
 
+def test_minimum_is_kept():
+    words = lambda n: " ".join(["w"] * n)
+    text = "one two three four five. " + words(300) + "\n" + words(500)
+    assert [(size, overlap, kind) for _, _, size, overlap, kind in split.pieces(text, SplitConfig())] == [(305, 0, "line"), (560, 60, "end")]
+    tail = " ".join(words(39) + " w." for _ in range(18))  # 720 words in sentences of 40
+    assert [size - overlap for _, _, size, overlap, _ in split.pieces(tail, SplitConfig())][-1] >= 240
+    assert [kind for *_, kind in split.pieces("one two. " + words(900), SplitConfig())][0] == "sentence"
+
+
 def test_split_config():
     for bad in ({"overlap": 700}, {"min_words": 0}, {"min_words": 660}, {"window": 0}):
         with pytest.raises(ValueError):
