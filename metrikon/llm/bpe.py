@@ -168,7 +168,8 @@ def encode(df: DataFrame, id_col: str, text_col: str, vocabulary: str = VOCABULA
     pieces = _let(often[0], lambda t: F.transform("open", lambda w: lookup((t, often[1]), w.cast("binary"))))
     rare = _let(pieces, lambda p: F.filter("open", lambda w, k: F.get(p, k).isNull()))
     filled = fill("ids", F.transform(pieces, lambda x: F.coalesce(x, F.array(F.lit(GAP)))))
-    met = texts.select("row", F.posexplode(rare).alias("at", "w")).join(folded.select("w", F.col("ids").alias("piece")), "w")
+    # The outer form, for from the inner one Catalyst infers filters that evaluate the list twice more.
+    met = texts.select("row", F.posexplode_outer(rare).alias("at", "w")).where("w IS NOT NULL").join(folded.select("w", F.col("ids").alias("piece")), "w")
     mapped = met.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("pieces"))
     whole = texts.select("row", "id", F.when(F.size("open") > 0, filled).otherwise(F.col("ids")).alias("ids")).join(mapped, "row", "left")
     ids = F.when(F.col("pieces").isNull(), F.col("ids")).otherwise(fill("ids", F.col("pieces.piece")))
