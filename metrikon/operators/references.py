@@ -1,8 +1,10 @@
 """References to records that do not exist at the time of the reference.
 
-References are pre-aggregated per key and period. Keys that hold a large share of all references are few by
-arithmetic (at most 1/share of them), so their presence rows are broadcast to the references after a check of
-their size; the references of all other keys are shuffled to theirs. Both orphan sets are united.
+References are pre-aggregated per key and period to their number and the span of their times; a hot key is then a
+handful of rows. The aggregates, not the references, meet the presence of their keys: by an anti-join those of keys that
+no record has, by a join those that may lie outside of it, and all others are done with. Only the references of the
+keys and periods that are left are looked at one by one: those of heavy ones against a broadcast list after a check of
+its size, all others in a shuffled join. Both orphan sets are united.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ def _reason(refs: DataFrame) -> DataFrame:
 
 
 def orphan_references(
-    refs: DataFrame, targets: DataFrame, id_col: str = "doc_id", added_col: str = "added_at", deleted_col: str = "deleted_at", heavy_share: float = 0.02, broadcast_rows: int = 100_000
+    refs: DataFrame, targets: DataFrame, id_col: str = "doc_id", added_col: str = "added_at", deleted_col: str = "deleted_at", heavy_share: float = 0.002, broadcast_rows: int = 100_000, salts: int = 16
 ) -> DataFrame:
     """Orphans of ``refs`` (ref_table, ref_id, doc_id, at) against ``targets``: distinct (ref_table, ref_id, doc_id, reason, period).
 
@@ -48,24 +50,30 @@ def orphan_references(
     ``missing`` or, if the id exists, ``later``, with a null period. Rows delivered twice count once. Columns
     beyond those named are ignored; an empty table of targets makes every reference ``missing``.
     """
-    rows = refs.select("ref_table", F.col("ref_id").cast("string").alias("ref_id"), reference_key(F.col("doc_id")).alias("key"), "at").where("key IS NOT NULL")
-    period = F.date_format("at", "yyyy-MM")
-    sizes = rows.groupBy("key", period.alias("period")).agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"))
-    total = rows.count()
-    heavy = [r["key"] for r in sizes.where(F.col("n") > heavy_share * total).select("key").collect()]  # at most 1 / heavy_share keys
+    month = F.coalesce(F.date_format("at", "yyyy-MM"), F.lit(""))
+    rows = refs.select("ref_table", F.col("ref_id").cast("string").alias("ref_id"), reference_key(F.col("doc_id")).alias("key"), "at", month.alias("month")).where("key IS NOT NULL")
+    sums = staged(rows.groupBy("key", "month").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.max("at").alias("last")), "references")
     spans = presence(targets, id_col, added_col, deleted_col)
-    parts = []
-    if heavy:
-        few = spans.where(F.col("key").isin(heavy))
-        small = few.agg(F.sum(F.size("spans"))).first()[0] or 0
-        there = F.broadcast(few) if small <= broadcast_rows else few.hint("shuffle_hash")
-        parts.append(_reason(rows.where(F.col("key").isin(heavy)).join(there, "key", "left")))
-        rows = rows.where(~F.col("key").isin(heavy))
-    parts.append(_reason(rows.join(spans, "key", "left")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("ref_table", "ref_id", F.col("key").alias("doc_id"), "reason", period.alias("period")).distinct()
+    # Present throughout: some span holds both the first and the last time of the period.
+    inside = F.exists("spans", lambda s: (s["a"].isNull() | (s["a"] <= F.col("first"))) & (s["d"].isNull() | (F.col("last") < s["d"])))
+    unknown = sums.join(spans, "key", "left_anti").withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
+    outside = sums.join(spans, "key").where(~F.coalesce(inside, F.lit(False)))
+    columns = ["key", "month", "n", "spans"]
+    open_ = staged(unknown.select(columns).unionByName(outside.select(columns)), "open-references")
+
+    total = sums.agg(F.sum("n")).first()[0] or 0
+    heavy = open_.where(F.col("n") > heavy_share * total).drop("n")
+    rest = open_.where(F.col("n") <= heavy_share * total).drop("n")
+    # At most 1 / heavy_share rows; their references stay out of the shuffle, be they orphans or not.
+    hot = F.broadcast(sums.where(F.col("n") > heavy_share * total).select("key", "month"))
+    small = heavy.agg(F.sum(F.coalesce(F.size("spans"), F.lit(1)))).first()[0] or 0
+    if small <= broadcast_rows:
+        found = rows.join(F.broadcast(heavy), ["key", "month"])
+    else:
+        spread = heavy.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        found = rows.withColumn("salt", F.pmod(F.xxhash64("ref_id"), F.lit(salts)).cast("int")).join(spread, ["key", "month", "salt"]).drop("salt")
+    orphans = _reason(found).unionByName(_reason(rows.join(hot, ["key", "month"], "left_anti").join(rest, ["key", "month"])))
+    return orphans.select("ref_table", "ref_id", F.col("key").alias("doc_id"), "reason", F.nullif("month", F.lit("")).alias("period")).distinct()
 
 
 def dataset_references(queries: DataFrame, results: DataFrame) -> DataFrame:
@@ -78,8 +86,3 @@ def dataset_references(queries: DataFrame, results: DataFrame) -> DataFrame:
 def orphan_counts(orphans: DataFrame) -> DataFrame:
     """Orphan references per referring table, period and reason: (ref_table, period, reason, orphans)."""
     return orphans.groupBy("ref_table", "period", "reason").agg(F.count("*").alias("orphans"))
-
-
-def staged_orphans(refs: DataFrame, targets: DataFrame) -> DataFrame:
-    """``orphan_references`` written once, for several reports over the same orphans."""
-    return staged(orphan_references(refs, targets), "orphans")
