@@ -73,6 +73,19 @@ def _vector_labelled(spark: SparkSession, d: str) -> DataFrame:
     return queries.select("query_id").join(lists, "query_id", "left").join(gold, "query_id", "left")
 
 
+def _vector_flagged(spark: SparkSession, d: str) -> DataFrame:
+    """As ``flagged``: a hit is relevant by its label, and a label's documents are counted, not listed."""
+    v = read(spark, d, "embeddings").select("vec_id", "label")
+    queries = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    sizes = v.groupBy("label").agg((F.count("*") - 1).alias("gold"))
+    hits = _vector_run(spark, d).join(v.select(F.col("vec_id").alias("doc_id"), F.col("label").alias("found")), "doc_id")
+    rel = hits.join(queries, "query_id").select("query_id", F.struct("rank", F.when(F.col("found") == F.col("label"), 1.0).otherwise(0.0).alias("rel")).alias("h"))
+    lists = rel.groupBy("query_id").agg(F.array_sort(F.collect_list("h"))["rel"].alias("rel"))
+    none = F.array().cast("array<double>")
+    out = queries.join(sizes, "label", "left").join(lists, "query_id", "left").withColumn("rel", F.coalesce("rel", none))
+    return out.select("query_id", "rel", F.col("rel").alias("fresh"), F.coalesce("gold", F.lit(0)).cast("int").alias("gold"))
+
+
 def _vector_graded(spark: SparkSession, d: str) -> DataFrame:
     grade = F.transform("expected", lambda x: F.struct(x.alias("key"), (F.lit(1) + x.cast("long") % 4).cast("double").alias("value")))
     return _vector_labelled(spark, d).withColumn("grades", F.coalesce(F.map_from_entries(grade), F.create_map().cast("map<string,double>")))
@@ -117,7 +130,7 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 for _m in METRICS10:
 
     def _per_query(spark: SparkSession, d: str, metric: m.Metric = _m) -> DataFrame:
-        return _vector_labelled(spark, d).select("query_id", _six(metric.column(F.col("retrieved"), F.col("expected"))).alias("value"))
+        return m.scored(_vector_flagged(spark, d), [metric], ("query_id",)).select("query_id", _six(F.col(metric.alias)).alias("value"))
 
     QUERIES[f"{_m.key}_at_k"] = _per_query
     SQL[f"{_m.key}_at_k"] = f"WITH {s.vectors()}, {s.metrics(10)} SELECT query_id, round({s.NAMES[_m.key]}, 6) AS value FROM m"
@@ -125,7 +138,7 @@ for _m in METRICS10:
 
 @query
 def metrics_summary(spark: SparkSession, d: str) -> DataFrame:
-    return m.summary(_vector_labelled(spark, d), METRICS10).withColumn("score", _six(F.col("score")))
+    return m.summary_of_flags(_vector_flagged(spark, d), METRICS10).withColumn("score", _six(F.col("score")))
 
 
 def _summary_sql(k: int) -> str:
@@ -135,17 +148,18 @@ def _summary_sql(k: int) -> str:
 SQL["metrics_summary"] = f"WITH {s.vectors()}, {s.metrics(10)} {_summary_sql(10)}"
 
 
-def _runs_labelled(spark: SparkSession, d: str) -> DataFrame:
-    """Every (run, query) with its list and gold ids; rows delivered twice once."""
+def _runs_labelled(spark: SparkSession, d: str, max_k: int | None = None) -> DataFrame:
+    """Every (run, query) with its list, up to ``max_k`` if no metric looks further, and gold ids; rows delivered twice once."""
     gold = read(spark, d, "query_examples").select("query_id", match.norm_ids(F.col("expected_doc_ids")).alias("expected")).dropDuplicates(["query_id"])
     rows = read(spark, d, "retrieval_results").select("run_id", "retriever", "query_id", F.struct("rank", text.norm(F.col("doc_id")).alias("doc_id")).alias("h"))
+    rows = rows if max_k is None else rows.where(F.col("h.rank") <= max_k)
     lists = rows.groupBy("run_id", "retriever", "query_id").agg(F.array_sort(F.collect_set("h"))["doc_id"].alias("retrieved"))
     return lists.join(gold, "query_id", "left")
 
 
 @query
 def metrics_by_retriever(spark: SparkSession, d: str) -> DataFrame:
-    scored = m.per_query(_runs_labelled(spark, d), METRICS10, keep=("retriever",))
+    scored = m.per_query(_runs_labelled(spark, d, 10), METRICS10, keep=("retriever",))
     return scored.groupBy("retriever").agg(F.count("*").alias("queries"), *(_six(F.avg(x.alias)).alias(x.key) for x in METRICS10))
 
 
@@ -156,7 +170,7 @@ SQL["metrics_by_retriever"] = f"WITH {s.RUNS}, {s.metrics(10)} SELECT retriever,
 def metrics_rollup(spark: SparkSession, d: str) -> DataFrame:
     """Metrics by retriever and run with totals; nulls mark the totals."""
     some = [m.Recall(5), m.NDCG(5)]
-    scored = m.per_query(_runs_labelled(spark, d), some, keep=("retriever", "run_id"))
+    scored = m.per_query(_runs_labelled(spark, d, 5), some, keep=("retriever", "run_id"))
     return scored.rollup("retriever", "run_id").agg(F.count("*").alias("queries"), *(_six(F.avg(x.alias)).alias(x.key) for x in some))
 
 
@@ -166,7 +180,7 @@ SQL["metrics_rollup"] = f"WITH {s.RUNS}, {s.metrics(5)} SELECT retriever, run_id
 @query
 def metrics_multi_k(spark: SparkSession, d: str) -> DataFrame:
     every = [kind(k) for k in (1, 3, 5, 10) for kind in (m.HitRate, m.Recall, m.Precision, m.MRR, m.NDCG, m.AveragePrecision, m.ERR, m.RBP)]
-    return m.summary(_runs_labelled(spark, d), every).withColumn("score", _six(F.col("score")))
+    return m.summary(_runs_labelled(spark, d, 10), every).withColumn("score", _six(F.col("score")))
 
 
 SQL["metrics_multi_k"] = " UNION ALL ".join(f"SELECT * FROM (WITH {s.RUNS}, {s.metrics(k)} {_summary_sql(k)})" for k in (1, 3, 5, 10))

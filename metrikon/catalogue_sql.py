@@ -65,8 +65,8 @@ scored AS (SELECT query_id, CASE WHEN en = rn THEN 1.0
 PAIRS = "pairs_ AS (SELECT DISTINCT query_id, coalesce(query_text, '') AS q, coalesce(expected_answer, '') AS e, coalesce(expected_context, '') AS r FROM generated_examples)"
 
 V = """v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings),
-run AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM (
-  SELECT a.vec_id AS query_id, b.vec_id AS doc, round({score}, 6) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0 AND {where}) QUALIFY rank <= 10),
+run AS (SELECT query_id, doc, round(exact, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, doc) AS rank FROM (
+  SELECT a.vec_id AS query_id, b.vec_id AS doc, {score} AS exact FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0 AND {where}) QUALIFY rank <= 10),
 gold AS (SELECT a.vec_id AS query_id, b.vec_id AS doc, 1 + b.vec_id % 4 AS grade FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
 qs AS (SELECT vec_id AS query_id FROM v WHERE vec_id % 100 = 0)"""
 

@@ -122,7 +122,7 @@ def chunk_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
-    return chunk.chunk_documents(_sources(spark, d)).select("doc_index", "chunk_index", "doc_id", "source", F.array_join("heading_path", " > ").alias("path"), text.word_count(F.col("text")).alias("words"))
+    return chunk.chunk_documents(_sources(spark, d), blank="skip").select("doc_index", "chunk_index", "doc_id", "source", F.array_join("heading_path", " > ").alias("path"), text.word_count(F.col("text")).alias("words"))
 
 
 @query

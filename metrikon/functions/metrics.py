@@ -7,13 +7,18 @@ are clamped to 1. A query without gold scores 0 and stays in the mean.
 from __future__ import annotations
 
 import math
+from collections.abc import Collection, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from metrikon.log import get_logger
 from metrikon.schema import ValidationError, repeated, require_positive
 
+log = get_logger(__name__)
+
+
 def unit(c: Column) -> Column:
     """Clamped to 0..1."""
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
@@ -74,54 +79,79 @@ class Metric:
     def top_k(self, retrieved: Column) -> Column:
         return F.slice(texts(retrieved), 1, self.k)
 
-    def column(self, retrieved: Column, expected: Column) -> Column:
+    def of_flags(self, rel: Column, found: Column, gold: Column) -> Column:
+        """From the flags (1.0 or 0.0) of the first k or fewer, the number of distinct relevant ones, and that of gold documents."""
         raise NotImplementedError
 
-    def score(self, labelled: DataFrame, retrieved: str = "retrieved", expected: str = "expected") -> DataFrame:
-        """One row (score): the mean over all queries, 0.0 without any."""
+    def column(self, retrieved: Column, expected: Column) -> Column:
+        return self.of_flags(flags(retrieved, expected, self.k), shared(retrieved, expected, self.k), F.size(F.array_distinct(texts(expected))))
+
+    def score_query(self, retrieved_doc_ids: Sequence[str], expected_answers: Collection[str]) -> float:
+        """The value of one list at hand, by the same expression as in a plan."""
+        return self._of_lists([retrieved_doc_ids], [expected_answers])[0]
+
+    def _of_lists(self, retrieved: Sequence[Sequence[str]], expected: Sequence[Collection[str]]) -> list[float]:
+        rows = [(i, list(r), list(e)) for i, (r, e) in enumerate(zip(retrieved, expected, strict=True))]
+        frame = SparkSession.builder.getOrCreate().createDataFrame(rows, "i int, retrieved array<string>, expected array<string>")
+        return [r["value"] for r in frame.select("i", self.column(F.col("retrieved"), F.col("expected")).alias("value")).orderBy("i").collect()]
+
+    def score(self, labelled: DataFrame | Sequence[Sequence[str]], retrieved: str | Sequence[Collection[str]] = "retrieved", expected: str = "expected") -> DataFrame | float:
+        """The mean over all queries, 0.0 without any: one row (score) of a frame, a number of two lists of lists.
+
+        Lists leave a log record with the figures of the batch.
+        """
+        if not isinstance(labelled, DataFrame):
+            if isinstance(retrieved, str) or len(labelled) != len(retrieved):
+                raise ValidationError("as many lists of expected texts as of retrieved ones are needed")
+            values = self._of_lists(labelled, retrieved) if labelled else []
+            mean = sum(values) / len(values) if values else 0.0
+            sizes = [len(r) for r in labelled]
+            figures = {"metric": self.name, "queries": len(values), "score": mean, "avg_retrieved_count": round(sum(sizes) / len(sizes), 2) if sizes else 0.0}
+            figures |= {"empty_retrieved_queries": sizes.count(0), "empty_expected_queries": sum(not e for e in retrieved)}
+            log.info("metric of a batch", extra=figures)
+            return mean
         return labelled.agg(F.coalesce(F.avg(self.column(F.col(retrieved), F.col(expected))), F.lit(0.0)).alias("score"))
 
 
 class HitRate(Metric):
     key = "hit_rate"
 
-    def column(self, retrieved: Column, expected: Column) -> Column:
-        return F.when(shared(retrieved, expected, self.k) > 0, 1.0).otherwise(0.0)
+    def of_flags(self, rel: Column, found: Column, gold: Column) -> Column:
+        return F.when(found > 0, 1.0).otherwise(0.0)
 
 
 class Recall(Metric):
     key = "recall"
 
-    def column(self, retrieved: Column, expected: Column) -> Column:
-        gold = F.size(F.array_distinct(texts(expected)))
-        return F.when(gold > 0, shared(retrieved, expected, self.k) / F.nullif(gold, F.lit(0))).otherwise(0.0)
+    def of_flags(self, rel: Column, found: Column, gold: Column) -> Column:
+        return F.when(gold > 0, found / F.nullif(gold, F.lit(0))).otherwise(0.0)
 
 
 class Precision(Metric):
     key = "precision"
 
-    def column(self, retrieved: Column, expected: Column) -> Column:
-        return shared(retrieved, expected, self.k) / F.lit(float(self.k))
+    def of_flags(self, rel: Column, found: Column, gold: Column) -> Column:
+        return found / F.lit(float(self.k))
 
 
 class MRR(Metric):
     key = "mrr"
 
-    def column(self, retrieved: Column, expected: Column) -> Column:
-        at = F.array_position(flags(retrieved, expected, self.k), F.lit(1.0))
+    def of_flags(self, rel: Column, found: Column, gold: Column) -> Column:
+        at = F.array_position(rel, F.lit(1.0))
         return F.when(at > 0, F.lit(1.0) / F.nullif(at, F.lit(0))).otherwise(0.0)
 
 
 class NDCG(Metric):
     key = "ndcg"
 
-    def column(self, retrieved: Column, expected: Column) -> Column:
+    def of_flags(self, rel: Column, found: Column, gold: Column) -> Column:
         sums, ideal = 0.0, [0.0]
         for d in discounts(self.k):
             sums += d
             ideal.append(sums)
-        best = F.get(doubles(ideal), F.least(F.lit(self.k), F.size(F.array_distinct(texts(expected)))))
-        return F.when(best > 0, unit(dcg(flags(retrieved, expected, self.k), self.k) / F.nullif(best, F.lit(0.0)))).otherwise(0.0)
+        best = F.get(doubles(ideal), F.least(F.lit(self.k), gold).cast("int"))
+        return F.when(best > 0, unit(dcg(rel, self.k) / F.nullif(best, F.lit(0.0)))).otherwise(0.0)
 
     def graded(self, retrieved: Column, grades: Column) -> Column:
         """With gains from a map of grades; grades of 0 or less are no gain."""
@@ -134,16 +164,15 @@ class NDCG(Metric):
 class AveragePrecision(Metric):
     key = "average_precision"
 
-    def column(self, retrieved: Column, expected: Column) -> Column:
+    def of_flags(self, rel: Column, found: Column, gold: Column) -> Column:
         zero = F.struct(F.lit(0.0).alias("rank"), F.lit(0.0).alias("hits"), F.lit(0.0).alias("sum"))
 
         def step(s: Column, f: Column) -> Column:
             rank, hits = s["rank"] + 1.0, s["hits"] + f
             return F.struct(rank.alias("rank"), hits.alias("hits"), (s["sum"] + f * hits / rank).alias("sum"))
 
-        found = F.aggregate(flags(retrieved, expected, self.k), zero, step, lambda s: s["sum"])
-        gold = F.size(F.array_distinct(texts(expected)))
-        return F.when(gold > 0, unit(found / F.nullif(gold, F.lit(0)))).otherwise(0.0)
+        summed = F.aggregate(rel, zero, step, lambda s: s["sum"])
+        return F.when(gold > 0, unit(summed / F.nullif(gold, F.lit(0)))).otherwise(0.0)
 
 
 @dataclass(frozen=True)
@@ -174,8 +203,8 @@ class ERR(Metric):
 
         return unit(F.aggregate(ranked, zero, step, lambda s: s["sum"]))
 
-    def column(self, retrieved: Column, expected: Column) -> Column:
-        return self.of_grades(flags(retrieved, expected, self.k))
+    def of_flags(self, rel: Column, found: Column, gold: Column) -> Column:
+        return self.of_grades(rel)
 
     def graded(self, retrieved: Column, grades: Column) -> Column:
         return self.of_grades(F.transform(self.top_k(retrieved), lambda d: F.coalesce(F.try_element_at(grades, d).cast("double"), F.lit(0.0))))
@@ -208,8 +237,8 @@ class RBP(Metric):
         weights = doubles([self.p**i for i in range(self.k)])
         return unit(F.lit(1.0 - self.p) * total(F.zip_with(gains, F.slice(weights, F.lit(1), F.size(gains)), lambda g, w: g * w)))
 
-    def column(self, retrieved: Column, expected: Column) -> Column:
-        return self.of_gains(flags(retrieved, expected, self.k))
+    def of_flags(self, rel: Column, found: Column, gold: Column) -> Column:
+        return self.of_gains(rel)
 
     def graded(self, retrieved: Column, grades: Column) -> Column:
         """Grades over the greatest grade of the whole map, if that is above 1."""
@@ -233,15 +262,39 @@ def precision_at_rank(retrieved: Column, expected: Column, rank: int) -> Column:
     return F.when(F.size(texts(retrieved)) >= rank, found / F.lit(float(rank))).otherwise(0.0)
 
 
+def flagged(labelled: DataFrame, k: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(*keep, rel, fresh, gold): per query the flags of the first k, those of first occurrences, the number of gold documents.
+
+    Whatever the number of metrics and cutoffs, a list meets its gold documents once.
+    """
+    r, e = F.slice(texts(F.col("retrieved")), 1, k), F.col("expected")
+    rows = labelled.select(*keep, r.alias("r"), flags(F.col("retrieved"), e, k).alias("rel"), F.size(F.array_distinct(texts(e))).alias("gold"))
+    first = F.zip_with("rel", F.transform("r", lambda d, i: F.when(F.coalesce(F.array_position("r", d) == i + 1, F.lit(True)), 1.0).otherwise(0.0)), lambda a, b: a * b)
+    return rows.select(*keep, "rel", first.alias("fresh"), "gold")
+
+
+def scored(flags_: DataFrame, metrics: list[Metric], keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row a query of ``flagged`` with one column a metric."""
+
+    def one(m: Metric) -> Column:
+        return m.of_flags(F.slice("rel", 1, m.k), total(F.slice("fresh", 1, m.k)), F.col("gold")).alias(m.alias)
+
+    return flags_.select(*keep, *(one(m) for m in check_metrics(metrics)))
+
+
 def per_query(labelled: DataFrame, metrics: list[Metric], keep: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """One row a query with one column a metric."""
-    return labelled.select(*keep, *(m.column(F.col("retrieved"), F.col("expected")).alias(m.alias) for m in check_metrics(metrics)))
+    return scored(flagged(labelled, max(m.k for m in check_metrics(metrics)), keep), metrics, keep)
 
 
 def summary(labelled: DataFrame, metrics: list[Metric]) -> DataFrame:
     """(metric, score, query_count) of all metrics from a single aggregation pass."""
-    scored = per_query(labelled, metrics, keep=())
-    row = scored.agg(F.count("*").alias("n"), *(F.coalesce(F.avg(m.alias), F.lit(0.0)).alias(m.alias) for m in metrics))
+    return summary_of_flags(flagged(labelled, max(m.k for m in check_metrics(metrics))), metrics)
+
+
+def summary_of_flags(flags_: DataFrame, metrics: list[Metric]) -> DataFrame:
+    """``summary`` from the rows of ``flagged``, or rows like them that were made without lists of gold documents."""
+    row = scored(flags_, metrics).agg(F.count("*").alias("n"), *(F.coalesce(F.avg(m.alias), F.lit(0.0)).alias(m.alias) for m in metrics))
     pairs = F.explode(F.array(*(F.struct(F.lit(m.name).alias("metric"), F.col(m.alias).alias("score")) for m in metrics)))
     return row.select("n", pairs.alias("s")).select("s.metric", "s.score", F.col("n").alias("query_count"))
 

@@ -84,8 +84,3 @@ def uuid5(name: Column, namespace: str = "6ba7b8119dad11d180b400c04fd430c8") ->
     variant = F.lower(F.hex(F.conv(F.substring(h, 17, 1), 16, 10).cast("int").bitwiseAND(3).bitwiseOR(8)))
     part = lambda a, n: F.substring(h, a, n)
     return F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(14, 3), F.lit("-"), variant, part(18, 3), F.lit("-"), part(21, 12))
-
-
-def base_name(path: Column) -> Column:
-    """Last part of a POSIX or Windows path; a path that ends in separators gives the part before them."""
-    return F.regexp_extract(path, r"([^/\\]*)[/\\]*$", 1)

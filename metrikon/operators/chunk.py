@@ -140,14 +140,22 @@ def chunk_id(source: Column, doc_index: Column, chunk_index: Column, text: Colum
     return uuid5(F.concat_ws("\n", name, doc_index.cast("string"), chunk_index.cast("string"), collapse(text)))
 
 
-def chunk_rows(sources: DataFrame, config: ChunkingConfig | None = None) -> DataFrame:
+def chunk_rows(sources: DataFrame, config: ChunkingConfig | None = None, blank: str = "error") -> DataFrame:
     """(doc_index, chunk_index, doc_id, text, source, heading_path, metadata) before merging, chunk_index from 0 a document.
 
-    Null and blank texts give no chunk; a null or blank source is named by its position. Each row of
-    ``sources`` is one document, so ``doc_index`` must tell them apart.
+    A null source, which is that of a text given alone, is named by its position. A null or blank text and a blank
+    source are errors; with ``blank="skip"`` such texts give no chunk and such sources are named by position too.
+    Each row of ``sources`` is one document, so ``doc_index`` must tell them apart.
     """
+    if blank not in ("error", "skip"):
+        raise ValidationError("blank must be error or skip")
     config = config or ChunkingConfig()
     source = F.coalesce(falsy_or(strip(F.col("source"))), F.concat(F.lit("document_"), F.col("doc_index").cast("string")))
+    if blank == "error":
+        fail = lambda what: F.raise_error(F.concat(F.lit(f"{what} must not be blank, document "), F.col("doc_index").cast("string"))).cast("string")
+        source = F.when(strip(F.col("source")) == "", fail("source")).otherwise(source)
+        told = F.when(F.coalesce(strip(F.col("text")), F.lit("")) == "", fail("text")).otherwise(F.col("text"))
+        sources = sources.withColumn("text", told)
     found = F.flatten(F.transform(sections(F.col("text")), lambda s: F.transform(section_chunks(s["body"], config), lambda c: F.struct(s["path"].alias("path"), c.alias("text")))))
     base = sources.where(strip(F.col("text")) != "").select("doc_index", source.alias("source"), "metadata", F.posexplode(F.filter(found, lambda c: strip(c["text"]) != "")).alias("chunk_index", "c"))
     rows = base.select("doc_index", "chunk_index", chunk_id(F.col("source"), F.col("doc_index"), F.col("chunk_index"), F.col("c.text")).alias("doc_id"), F.col("c.text").alias("text"), "source", F.col("c.path").alias("heading_path"), "metadata")
@@ -184,9 +192,9 @@ def merge_short(chunks: DataFrame, config: ChunkingConfig | None = None, order:
     return folded.select(*(F.col(f"c.{c}").alias(c) for c in chunks.columns))
 
 
-def chunk_documents(sources: DataFrame, config: ChunkingConfig | None = None) -> DataFrame:
+def chunk_documents(sources: DataFrame, config: ChunkingConfig | None = None, blank: str = "error") -> DataFrame:
     """The chunks of all documents, short ones merged; see ``chunk_rows`` and ``merge_short``."""
-    return merge_short(chunk_rows(sources, config), config)
+    return merge_short(chunk_rows(sources, config, blank), config)
 
 
 def word_windows(df: DataFrame, id_col: str, text_col: str, size: int = 500, overlap: int = 0) -> DataFrame:

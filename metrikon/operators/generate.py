@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from metrikon.functions.text import collapse, norm, strip
 from metrikon.operators.chunk import ChunkingConfig, chunk_documents
 from metrikon.operators.order import numbered
+from metrikon.operators.providers import make_provider
 from metrikon.schema import require_positive
 
 # The categories of examples; the last is answered by nothing.
@@ -90,29 +91,48 @@ def document_examples(chunks: DataFrame) -> DataFrame:
     return chunks.select("doc_id", "text", "metadata")
 
 
+def dataset_dict(examples: DataFrame, chunks: DataFrame) -> dict[str, list[dict[str, object]]]:
+    """A generated dataset as one dict of lists, for JSON: it comes to the driver, as a file of it would."""
+    q = query_examples(examples).join(examples.select("query_id", "category", "expected_context"), "query_id")
+    queries = [{c: r[c] for c in ("query_id", "query_text", "expected_answers", "category", "expected_context", "expected_doc_ids")} for r in q.collect()]
+    documents = [{"doc_id": r["doc_id"], "text": r["text"], "metadata": dict(r["metadata"] or {})} for r in document_examples(chunks).collect()]
+    return {"queries": sorted(queries, key=lambda x: (len(x["query_id"]), x["query_id"])), "documents": documents}
+
+
 class DatasetGenerator:
     """Chunks -> prompts -> completions -> validated, de-duplicated examples. ``complete`` maps a prompt to a response."""
 
-    def __init__(self, complete: Callable[[str], str], *, chunking: ChunkingConfig | None = None, examples_per_chunk: int = 6) -> None:
+    def __init__(self, complete: Callable[[str], str], *, chunking: ChunkingConfig | None = None, examples_per_chunk: int = 6, show_progress: bool = True) -> None:
         self.complete = complete
         self.chunking = chunking or ChunkingConfig()
         self.examples_per_chunk = require_positive(examples_per_chunk, "examples_per_chunk")
+        self.show_progress = show_progress
+        self._answered = None
+
+    @classmethod
+    def from_provider(cls, provider: str, *, model: str | None = None, api_key: str | None = None, temperature: float = 0.2, max_retries: int = 3, **options: object) -> DatasetGenerator:
+        """A generator that asks a model of this provider; ``options`` are those of the constructor."""
+        return cls(make_provider(provider, model, api_key, temperature, max_retries, max_tokens=4096).complete, **options)
+
+    @property
+    def answered(self) -> int:
+        """Chunks answered so far, those of tasks that were tried again counted again; 0 without ``show_progress``."""
+        return self._answered.value if self._answered is not None else 0
 
     def generate(self, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(examples, chunks). The model is called once a chunk, on the executors."""
         chunks = chunk_documents(sources, self.chunking)
         asked = chunks.withColumn("prompt", prompt(F.col("doc_id"), F.col("metadata"), F.col("text"), self.examples_per_chunk))
         complete = self.complete
+        done = self._answered = sources.sparkSession.sparkContext.accumulator(0) if self.show_progress else None
 
         def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 yield b[["chunk_pos", "chunk_id", "chunk_text"]].assign(response=[complete(p) for p in b["prompt"]])
+                if done is not None:
+                    done.add(len(b))
 
         rows = asked.select(F.struct("doc_index", "chunk_index").alias("k"), F.col("doc_id").alias("chunk_id"), F.col("text").alias("chunk_text"), "prompt")
         placed = numbered(rows.select(F.col("k.doc_index").alias("a"), F.col("k.chunk_index").alias("b"), "chunk_id", "chunk_text", "prompt"), ["a", "b"], "chunk_pos")
         responses = placed.select("chunk_pos", "chunk_id", "chunk_text", "prompt").mapInPandas(answer, "chunk_pos long, chunk_id string, chunk_text string, response string")
         return examples_of(responses), chunks
-
-
-def contains_normalized(text: Column, part: Column) -> Column:
-    return F.contains(F.lower(collapse(text)), F.lower(collapse(part)))

@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+import asyncio
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metrikon.functions.text import NEGATIONS, STOPWORDS, content_tokens, let, literal_texts, norm, tokens
+from metrikon.operators.providers import make_provider, provider_name  # noqa: F401
 from metrikon.schema import ValidationError, require_positive
 
 
+@dataclass(frozen=True)
+class JudgmentContext:
+    """One question, a text that would answer it and a text that was found."""
+
+    query: str
+    expected_text: str
+    retrieved_text: str
+
+
 class Judge(Protocol):
     """A judge adds the boolean column ``relevant`` to contexts (query, expected_text, retrieved_text)."""
 
@@ -22,7 +33,28 @@ class Judge(Protocol):
     def judged(self, contexts: DataFrame) -> DataFrame: ...
 
 
-class ColumnJudge:
+class OneByOne:
+    """The same judgments for contexts at hand: they become a small frame of the active session."""
+
+    def batch_judge(self, contexts: Sequence[JudgmentContext]) -> list[bool]:
+        if not contexts:
+            return []
+        rows = [(i, c.query, c.expected_text, c.retrieved_text) for i, c in enumerate(contexts)]
+        frame = SparkSession.builder.getOrCreate().createDataFrame(rows, "i int, query string, expected_text string, retrieved_text string")
+        found = {r["i"]: bool(r["relevant"]) for r in self.judged(frame).select("i", "relevant").collect()}
+        return [found[i] for i in range(len(rows))]
+
+    def judge(self, context: JudgmentContext) -> bool:
+        return self.batch_judge([context])[0]
+
+    async def ajudge(self, context: JudgmentContext) -> bool:
+        return await asyncio.to_thread(self.judge, context)
+
+    async def abatch_judge(self, contexts: Sequence[JudgmentContext]) -> list[bool]:
+        return await asyncio.to_thread(self.batch_judge, contexts)
+
+
+class ColumnJudge(OneByOne):
     """A judge that is a Column expression and stays inside the plan."""
 
     name = "column"
@@ -135,7 +167,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 @dataclass(frozen=True)
-class SemanticJudge:
+class SemanticJudge(OneByOne):
     """Cosine of the texts' embeddings against a threshold; ``encode`` turns a list of texts into vectors, batch by batch."""
 
     encode: Callable[[list[str]], Iterable[Iterable[float]]]
@@ -181,29 +213,21 @@ class CompletionProvider(Protocol):
     def complete(self, prompt: str) -> str: ...
 
 
-# Names of providers, their other names and their keys' environment variables.
-PROVIDERS = {"openai": "OPENAI_API_KEY", "anthropic": "ANTHROPIC_API_KEY", "google": "GOOGLE_API_KEY"}
-PROVIDER_ALIASES = {"google-genai": "google", "gemini": "google"}
-
-
-def provider_name(name: str) -> str:
-    """Canonical name of a provider; an unknown one is an error."""
-    low = name.strip().lower()
-    low = PROVIDER_ALIASES.get(low, low)
-    if low not in PROVIDERS:
-        raise ValueError(f"unknown provider {name!r}; known: {', '.join(sorted(PROVIDERS))}")
-    return low
-
-
 @dataclass(frozen=True)
-class LLMJudge:
+class LLMJudge(OneByOne):
     """Asks ``complete`` about each context, ``width`` prompts of a batch at a time, with ``max_retries`` tries."""
 
     complete: Callable[[str], str]
     width: int = 8
     max_retries: int = 3
 
-    name = "llm"
+    name: str = "llm"
+
+    @classmethod
+    def from_provider(cls, provider: str = "openai", model: str | None = None, api_key: str | None = None, temperature: float = 0.0, max_retries: int = 3, width: int = 8) -> LLMJudge:
+        """A judge that asks a model of this provider; its replies are bounded to a few tokens."""
+        p = make_provider(provider, model, api_key, temperature, max_retries, max_tokens=10)
+        return cls(p.complete, width, max_retries, f"llm({provider}:{p.model})")
 
     def judged(self, contexts: DataFrame) -> DataFrame:
         complete, width, tries = self.complete, require_positive(self.width, "width"), require_positive(self.max_retries, "max_retries")
@@ -230,7 +254,7 @@ class LLMJudge:
 
 
 @dataclass(frozen=True)
-class BatchJudge:
+class BatchJudge(OneByOne):
     """A user's judge: ``judge`` gets a pandas frame of contexts and returns one boolean a row."""
 
     judge: Callable[[pd.DataFrame], Iterable[bool]]

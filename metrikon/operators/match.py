@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from metrikon.functions.text import norm, strip
 
@@ -96,9 +95,3 @@ def label_by_judge(queries: DataFrame, candidates: DataFrame, judged: DataFrame)
     taken = q.join(lists, "query_id", "left").withColumn("taken", F.coalesce(assign_labels(F.col("r.labels")), none))
     named = F.transform("taken", lambda t, i: F.when(t >= 0, F.get("expected", t)).otherwise(F.concat(F.lit("retrieved_"), i.cast("string"), F.lit(":"), F.coalesce(F.get("r", i)["name"], F.lit("")))))
     return taken.select("query_id", named.alias("retrieved"), "expected")
-
-
-def last_wins(rows: DataFrame, key: Column, order: str) -> DataFrame:
-    """The row of the greatest ``order`` for each key."""
-    w = Window.partitionBy(key).orderBy(F.desc(order))
-    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")

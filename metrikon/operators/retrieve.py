@@ -1,8 +1,9 @@
-"""Exact top-k retrieval by blocks of queries, and the bridge to outside retrievers.
+"""Exact top-k retrieval, and the bridge to outside retrievers.
 
-A block of queries goes to every executor, each Arrow batch of the corpus is scored against it with one matrix
-product, and only the k best of the batch for each query leave it. The final window ranks batches x k rows a
-query, so the corpus is neither shuffled nor joined. More queries than a block holds make more blocks.
+Vectors: a block of queries goes to every executor, the corpus is scored against it with one matrix product an Arrow
+batch, and a task keeps the k best of its whole partition for each query, so tasks x k rows a query are ranked at the
+end and the corpus is neither shuffled nor joined. The queries are fetched by blocks, so the driver holds one.
+Texts: queries and corpus meet on tokens, as a join on hashed tokens whose partial counts are summed.
 """
 
 from __future__ import annotations
@@ -29,49 +30,60 @@ def rank_run(scored: DataFrame, k: int, id_col: str = "doc_id") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", F.col(id_col).alias("doc_id"), "score")
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int, skip: np.ndarray | None) -> Iterator[tuple[int, np.ndarray]]:
-    """For each column, the rows of its k best finite scores, equal scores by id."""
-    by_id = np.argsort(ids, kind="stable")
-    for j in range(scores.shape[1]):
-        s = scores[by_id, j]
-        keep = np.isfinite(s)
-        if skip is not None:
-            keep &= ids[by_id] != skip[j]
-        rows = np.flatnonzero(keep)
-        if len(rows) > k:
-            edge = np.partition(s[rows], len(rows) - k)[len(rows) - k]
-            rows = rows[s[rows] >= edge]
-        yield j, by_id[rows[np.argsort(-s[rows], kind="stable")][:k]]
-
-
-def _by_blocks(corpus: DataFrame, queries: list[tuple], scorer: Callable[[list[tuple]], Scorer], k: int, id_type: T.DataType, query_type: T.DataType, block: int, exclude_self: bool) -> DataFrame:
-    schema = T.StructType([T.StructField("query_id", query_type), T.StructField("doc_id", id_type), T.StructField("score", T.DoubleType())])
-    parts = None
-    for at in range(0, max(len(queries), 1), block):
-        some = queries[at : at + block]
-
-        def run(batches: Iterator[pd.DataFrame], some: list[tuple] = some) -> Iterator[pd.DataFrame]:
-            names = np.array([q[0] for q in some], dtype=object)
-            score = scorer(some)
-            for b in batches:
-                if not len(b) or not some:
-                    continue
-                ids = b["doc_id"].to_numpy()
-                scores = np.round(score(b), 6)
-                rows = [(j, r) for j, r in _best(scores, ids, k, names if exclude_self else None)]
-                q = np.concatenate([np.full(len(r), j) for j, r in rows])
-                r = np.concatenate([r for _, r in rows])
-                yield pd.DataFrame({"query_id": names[q], "doc_id": ids[r], "score": scores[r, q]})
-
-        scored = corpus.mapInPandas(run, schema)
-        parts = scored if parts is None else parts.unionByName(scored)
-    return rank_run(parts, k)
+class _Kept:
+    """The k best rows of each query so far, equal scores by id."""
+
+    def __init__(self, k: int, names: np.ndarray, exclude_self: bool) -> None:
+        self.k, self.names, self.exclude_self = k, names, exclude_self
+        self.scores = np.full((len(names), 0), -np.inf)
+        self.ids = np.empty((len(names), 0), dtype=object)
+
+    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        """``scores`` has a row for each id and a column for each query."""
+        found = np.where(np.isfinite(scores), scores, -np.inf).T
+        if self.exclude_self:
+            place = {name: j for j, name in enumerate(self.names.tolist())}
+            for r, i in enumerate(ids.tolist()):
+                if i in place:
+                    found[place[i], r] = -np.inf
+        k = min(self.k, found.shape[1])
+        # Whatever ties with the k-th best may still come in by its id, so it is kept until ids are compared.
+        edge = np.partition(found, found.shape[1] - k, axis=1)[:, found.shape[1] - k, None]
+        most = int((found >= edge).sum(axis=1).max())
+        if most > found.shape[1] // 2:
+            pick = np.broadcast_to(np.arange(found.shape[1]), found.shape)
+        else:
+            pick = np.argpartition(-found, most - 1, axis=1)[:, :most]
+        scores = np.concatenate((self.scores, np.take_along_axis(found, pick, axis=1)), axis=1)
+        names = np.concatenate((self.ids, ids.astype(object)[pick]), axis=1)
+        rank = np.empty(names.shape, dtype=np.int64)
+        _, rank.ravel()[:] = np.unique(names.ravel(), return_inverse=True)
+        order = np.lexsort((rank, -scores), axis=1)[:, : self.k]
+        self.scores, self.ids = np.take_along_axis(scores, order, axis=1), np.take_along_axis(names, order, axis=1)
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, id, score) of all that is kept."""
+        q, r = np.nonzero(np.isfinite(self.scores))
+        return self.names[q], self.ids[q, r], self.scores[q, r]
+
+
+def _blocks(rows: DataFrame, block: int) -> Iterator[list[tuple]]:
+    """The rows as lists of at most ``block``, fetched partition by partition."""
+    held: list[tuple] = []
+    for r in rows.toLocalIterator():
+        held.append(tuple(r))
+        if len(held) == block:
+            yield held
+            held = []
+    if held:
+        yield held
 
 
 def vector_topk(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id_col: str = "vec_id", vector_col: str = "embedding", block: int = 4096, exclude_self: bool = False) -> DataFrame:
-    """The k nearest vectors of each query, exactly: (query_id, rank, doc_id, score), scores rounded to 6 digits.
+    """The k nearest vectors of each query, exactly: (query_id, rank, doc_id, score), ranked by the scores as they are and
+    rounded to 6 digits on output.
 
-    Both frames have ``id_col`` and ``vector_col``; the stated queries come to the driver, the corpus stays
+    Both frames have ``id_col`` and ``vector_col``; the stated queries go through the driver by blocks, the corpus stays
     where it is. For ``l2`` the score is the negative distance. Null vectors and ids, and for cosine zero
     vectors, are never found; equal scores rank by id; an empty corpus or query set gives an empty run.
     """
@@ -92,44 +104,44 @@ def vector_topk(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "co
 
         return score
 
-    here = [(r[0], r[1]) for r in queries.select(id_col, vector_col).where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).distinct().collect()]
+    asked = queries.select(id_col, vector_col).where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).distinct()
     rows = corpus.select(F.col(id_col).alias("doc_id"), F.col(vector_col).alias("vector")).where("doc_id IS NOT NULL AND vector IS NOT NULL")
-    return _by_blocks(rows, sorted(here, key=lambda x: x[0]), scorer, k, corpus.schema[id_col].dataType, queries.schema[id_col].dataType, block, exclude_self)
+    schema = T.StructType([T.StructField("query_id", queries.schema[id_col].dataType), T.StructField("doc_id", corpus.schema[id_col].dataType), T.StructField("score", T.DoubleType())])
 
+    def nearest(some: list[tuple]) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best = _Kept(k, np.array([q[0] for q in some], dtype=object), exclude_self)
+            score = scorer(some)
+            for b in batches:
+                if len(b):
+                    best.add(score(b), b["doc_id"].to_numpy())
+            q, d, found = best.rows()
+            yield pd.DataFrame({"query_id": q, "doc_id": d, "score": found})
 
-def lexical_topk(corpus: DataFrame, queries: DataFrame, k: int, query_id: str = "query_id", query_text: str = "query_text", id_col: str = "doc_id", text_col: str = "text", block: int = 2048) -> DataFrame:
-    """The k texts with the largest share of each query's distinct tokens; texts without a shared token are not found.
+        return rows.mapInPandas(run, schema)
 
-    A query without tokens finds nothing; null texts and ids are left out; equal shares rank by id.
-    """
-    require_positive(k, "k")
-    distinct = F.array_distinct(tokens(F.col(query_text)))
-    here = [(r[0], r[1]) for r in queries.select(query_id, distinct.alias("t")).where(F.col(query_id).isNotNull() & (F.size("t") > 0)).collect()]
+    parts = [nearest(some) for some in _blocks(asked, block)] or [corpus.sparkSession.createDataFrame([], schema)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return rank_run(out, k).withColumn("score", F.round("score", 6))
 
-    def scorer(some: list[tuple]) -> Scorer:
-        known: dict[str, int] = {}
-        for _, ts in some:
-            for t in ts:
-                known.setdefault(t, len(known))
-        has = np.zeros((len(known), len(some)), dtype=np.int32)
-        for j, (_, ts) in enumerate(some):
-            has[[known[t] for t in ts], j] = 1
-        size = np.array([len(ts) for _, ts in some], dtype=np.float64)
-
-        def score(b: pd.DataFrame) -> np.ndarray:
-            out = np.zeros((len(b), len(some)))
-            for i, ts in enumerate(b["tokens"]):
-                at = [known[t] for t in ts if t in known]
-                if at:
-                    out[i] = has[at].sum(axis=0)
-            out /= size
-            out[out == 0] = -np.inf
-            return out
 
-        return score
+def lexical_topk(corpus: DataFrame, queries: DataFrame, k: int, query_id: str = "query_id", query_text: str = "query_text", id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
+    """The k texts with the largest share of each query's distinct tokens; texts without a shared token are not found.
 
-    rows = corpus.select(F.col(id_col).alias("doc_id"), F.array_distinct(tokens(F.col(text_col))).alias("tokens")).where("doc_id IS NOT NULL AND tokens IS NOT NULL")
-    return _by_blocks(rows, sorted(here, key=lambda x: x[0]), scorer, k, corpus.schema[id_col].dataType, queries.schema[query_id].dataType, block, False)
+    A query without tokens finds nothing; null texts and ids are left out; equal shares rank by id. Inside each text
+    only tokens that some query has leave the scan. The query tokens are broadcast up to ``broadcast_rows`` of them
+    and joined beyond, where AQE splits the tokens that stand in most texts.
+    """
+    require_positive(k, "k")
+    asked = queries.select(F.col(query_id).alias("query_id"), F.array_distinct(tokens(F.col(query_text))).alias("t")).where("query_id IS NOT NULL AND size(t) > 0").distinct()
+    parts = asked.select("query_id", F.size("t").alias("n"), F.explode("t").alias("token"))
+    texts = corpus.select(F.col(id_col).alias("doc_id"), F.array_distinct(tokens(F.col(text_col))).alias("t")).where("doc_id IS NOT NULL AND t IS NOT NULL")
+    small = parts.limit(broadcast_rows + 1).count() <= broadcast_rows
+    met = texts.select("doc_id", F.explode("t").alias("token")).join(F.broadcast(parts) if small else parts, "token")
+    scored = met.groupBy("query_id", "doc_id", "n").agg(F.count("*").alias("shared")).select("query_id", "doc_id", F.round(F.col("shared") / F.col("n"), 6).alias("score"))
+    return rank_run(scored, k)
 
 
 def external_run(queries: DataFrame, retrieve: Callable[[str, int], Iterable[tuple[str, float, dict[str, str]]]], k: int) -> DataFrame:

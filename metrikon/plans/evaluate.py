@@ -16,7 +16,7 @@ from metrikon.functions.metrics import Metric, check_metrics, summary
 from metrikon.log import get_logger
 from metrikon.operators.judges import Judge, TokenOverlapJudge
 from metrikon.operators.match import candidate_labels, contexts, label_by_ids, label_by_judge, norm_ids
-from metrikon.schema import ValidationError, parent_made
+from metrikon.schema import ValidationError, parent_made, require_text
 
 log = get_logger(__name__)
 
@@ -30,13 +30,13 @@ class EvaluationResults:
     def __post_init__(self) -> None:
         if self.query_count < 0:
             raise ValidationError("query_count must not be negative")
-        object.__setattr__(self, "metric_scores", {str(k): float(v) for k, v in self.metric_scores.items()})
+        object.__setattr__(self, "metric_scores", {require_text(k, "metric name"): float(v) for k, v in self.metric_scores.items()})
 
     def summary(self) -> dict[str, float]:
         return dict(self.metric_scores)
 
     def to_dict(self) -> dict[str, object]:
-        return {"metric_scores": self.summary(), "query_count": self.query_count, "generated_at": self.generated_at}
+        return {"metrics": self.summary(), "query_count": self.query_count, "generated_at": self.generated_at}
 
     def to_json(self, path: str | os.PathLike) -> None:
         with open(parent_made(path), "w", encoding="utf-8") as f:

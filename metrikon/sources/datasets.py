@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metrikon.functions.text import distinct_texts, falsy_or, strip
+from metrikon.log import get_logger
 from metrikon.schema import ValidationError
 
-_ITEMS = "queries array<variant>, documents array<variant>"
+log = get_logger(__name__)
 
 
 @dataclass(frozen=True)
@@ -67,11 +68,20 @@ def parse_query(item: Column, pos: Column) -> list[Column]:
     ]
 
 
+def _array(root: Column, key: str) -> Column:
+    """The list of this key, an empty one if there is no such key; a value of another kind is an error."""
+    value = F.try_variant_get(root, f"$.{key}", "variant")
+    listed = F.try_variant_get(root, f"$.{key}", "array<variant>")
+    is_list = F.schema_of_variant(value).startswith("ARRAY")
+    return F.when(value.isNull(), F.array().cast("array<variant>")).when(is_list, listed).otherwise(F.raise_error(F.lit(f"{key} must be a list")).cast("array<variant>"))
+
+
 def from_json(spark: SparkSession, path: str | os.PathLike) -> EvaluationDataset:
     """One JSON object with the lists ``queries`` and ``documents``, both empty by default."""
     raw = spark.read.text(_existing(spark, path), wholetext=True)
     root = raw.select(F.parse_json("value").alias("v"))
-    lists = root.select(*(F.try_variant_get("v", f"$.{c}", "array<variant>").alias(c) for c in ("queries", "documents")))
+    known = root.select(F.when(F.coalesce(F.schema_of_variant("v"), F.lit("")).startswith("OBJECT"), F.col("v")).otherwise(F.raise_error(F.lit("the root of the JSON must be an object")).cast("variant")).alias("v"))
+    lists = known.select(*(_array(F.col("v"), c).alias(c) for c in ("queries", "documents")))
     pos = F.col("pos")
     q = lists.select(F.posexplode("queries").alias("pos", "item")).select(*parse_query(F.col("item"), pos))
     d = lists.select(F.posexplode("documents").alias("pos", "item"))
@@ -85,6 +95,7 @@ def from_json(spark: SparkSession, path: str | os.PathLike) -> EvaluationDataset
         F.when(bad, F.raise_error(F.lit("metadata must be an object")).cast("map<string,string>")).otherwise(F.coalesce(meta, F.create_map().cast("map<string,string>"))).alias("metadata"),
         pos.cast("long").alias("doc_pos"),
     )
+    log.info("dataset opened", extra={"path": os.fspath(path), "format": "json"})
     return EvaluationDataset(q, d)
 
 
@@ -122,4 +133,5 @@ def from_csv(spark: SparkSession, path: str | os.PathLike) -> EvaluationDataset:
         "query_pos",
     )
     none = spark.createDataFrame([], "doc_id string, text string, metadata map<string,string>, doc_pos long")
+    log.info("dataset opened", extra={"path": os.fspath(path), "format": "csv"})
     return EvaluationDataset(q, none)

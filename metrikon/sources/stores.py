@@ -198,3 +198,29 @@ def framework_retriever(invoke: Callable[[str, int], Iterable[Any]], kind: str =
             return connectors.hits_run(base.normalize(rows, F.col("payload")), k)
 
     return _Store(lambda: True, ask, base)
+
+
+def llamaindex_retriever(retrieve: Callable[[str, int], Iterable[tuple[str, float, Mapping[str, Any]]]], k: int = 4, text_field: str = "document") -> Any:
+    """A retriever for LlamaIndex over ``retrieve(text, k)``, which gives (doc_id, score, metadata) in rank order.
+
+    The node's text is the metadata's ``text_field``; id and score go into the metadata unless it has them.
+    """
+    base, schema = needs("llama_index.core.retrievers").BaseRetriever, needs("llama_index.core.schema")
+    k, text_field = require_positive(k, "k"), require_text(text_field, "text_field")
+
+    def nodes(question: Any) -> list[Any]:
+        out = []
+        for doc_id, score, metadata in list(retrieve(require_text(part(question, "query_str"), "query"), k))[:k]:
+            rest = {"doc_id": doc_id, "score": score} | dict(metadata or {})
+            text = str(rest.pop(text_field, ""))
+            out.append(schema.NodeWithScore(node=schema.TextNode(text=text, id_=doc_id, metadata=rest), score=score))
+        return out
+
+    class _Retriever(base):
+        def _retrieve(self, query_bundle: Any) -> list[Any]:
+            return nodes(query_bundle)
+
+        async def _aretrieve(self, query_bundle: Any) -> list[Any]:
+            return nodes(query_bundle)
+
+    return _Retriever()

@@ -79,7 +79,7 @@ def test_results_files(tmp_path):
     r = EvaluationResults({"b@1": 1 / 3, "a@1": 1}, 2, "2025-01-01T00:00:00+00:00")
     r.to_json(tmp_path / "x/r.json")
     r.to_csv(tmp_path / "y/r.csv")
-    assert json.loads((tmp_path / "x/r.json").read_text()) == {"generated_at": "2025-01-01T00:00:00+00:00", "metric_scores": {"a@1": 1.0, "b@1": 1 / 3}, "query_count": 2}
+    assert json.loads((tmp_path / "x/r.json").read_text()) == {"generated_at": "2025-01-01T00:00:00+00:00", "metrics": {"a@1": 1.0, "b@1": 1 / 3}, "query_count": 2}
     assert (tmp_path / "y/r.csv").read_text().split() == ["metric,score", "a@1,1", "b@1,0.333333333333"]
     with pytest.raises(ValidationError):
         EvaluationResults({}, -1)

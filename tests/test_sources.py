@@ -115,7 +115,7 @@ def test_packing(spark):
 def test_chunk_documents(spark):
     rows = [(0, "# T\n" + "alpha beta gamma. " * 20, "docs/a.md", {"owner": "x"}), (1, " ", "b", None), (2, "tiny", " ", None), (3, None, "c", None), (4, "# T\nshort tail", "docs/a.md", {"doc_id": "mine"})]
     df = spark.createDataFrame(rows, "doc_index int, text string, source string, metadata map<string,string>")
-    got = chunk.chunk_rows(df).orderBy("doc_index").collect()
+    got = chunk.chunk_rows(df, blank="skip").orderBy("doc_index").collect()
     assert [(r["doc_index"], r["source"], r["heading_path"]) for r in got] == [(0, "docs/a.md", ["T"]), (2, "document_2", []), (4, "docs/a.md", ["T"])]
     name = "a.md\n0\n0\n" + " ".join(got[0]["text"].split())
     assert got[0]["doc_id"] == str(uuid.uuid5(uuid.NAMESPACE_URL, name)) and got[0]["metadata"]["owner"] == "x"
