@@ -29,8 +29,6 @@ _SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x
 PATTERN = rf"'(?:[stmd]|re|ve|ll)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 NONE = 2**31 - 1
-#: Stands in a list of ids for a word whose ids are still to come.
-GAP = -1
 #: Distinct words of more bytes merge by a heap instead, for the fold's work grows with the square of a word's length.
 LONGEST = 4096
 
@@ -155,39 +153,43 @@ def encode(df: DataFrame, id_col: str, text_col: str, vocabulary: str = VOCABULA
 
     # The only pass over the texts. Words that are one token become its id; the others leave a gap and stay in order.
     def cut(words: Column) -> Column:
-        found = _let(ranks[0], lambda t: F.transform(words, lambda w: lookup((t, ranks[1]), w.cast("binary"))))
-        return _let(found, lambda ids: F.struct(F.transform(ids, lambda i: F.coalesce(i, F.lit(GAP))).alias("ids"), F.filter(words, lambda w, k: F.get(ids, k).isNull()).alias("open")))
+        def of(ids: Column) -> Column:
+            gaps = F.filter(F.transform(ids, lambda i, k: F.when(i.isNull(), k)), lambda k: k.isNotNull())
+            return _let(gaps, lambda g: F.struct(ids.alias("ids"), g.alias("gaps"), F.transform(g, lambda k: F.get(words, k)).alias("open")))
+
+        return _let(_let(ranks[0], lambda t: F.transform(words, lambda w: lookup((t, ranks[1]), w.cast("binary")))), of)
 
     texts = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), _let(words, cut).alias("t"))
-    texts = staged(texts.select("row", "id", "t.ids", "t.open"), "words")
+    texts = staged(texts.select("row", "id", "t.ids", "t.gaps", "t.open"), "words")
     counted = texts.select(F.explode("open").alias("w")).groupBy("w").count()
     folded = staged(folded_words(counted, ranks, by_piece, longest), "folded")
     # Frequent words, a bounded number, go to all tasks; each other word is rare by count and meets its texts in a join.
     top = folded.orderBy(F.desc("count"), "w").limit(kept_words).collect()
-    often = literal_map({r["w"].encode("utf-8"): list(r["ids"]) for r in top}, "array<int>")
-    pieces = _let(often[0], lambda t: F.transform("open", lambda w: lookup((t, often[1]), w.cast("binary"))))
-    rare = _let(pieces, lambda p: F.filter("open", lambda w, k: F.get(p, k).isNull()))
-    filled = fill("ids", F.transform(pieces, lambda x: F.coalesce(x, F.array(F.lit(GAP)))))
+    often = literal_map({r["w"].encode("utf-8"): n for n, r in enumerate(top)}, "int")
+    pieces = F.from_json(F.lit(json.dumps([list(r["ids"]) for r in top])), "array<array<int>>")
+    numbers = _let(often[0], lambda t: F.transform("open", lambda w: lookup((t, often[1]), w.cast("binary"))))
     # The outer form, for from the inner one Catalyst infers filters that evaluate the list twice more.
-    met = texts.select("row", F.posexplode_outer(rare).alias("at", "w")).where("w IS NOT NULL").join(folded.select("w", F.col("ids").alias("piece")), "w")
-    mapped = met.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("pieces"))
-    whole = texts.select("row", "id", F.when(F.size("open") > 0, filled).otherwise(F.col("ids")).alias("ids")).join(mapped, "row", "left")
-    ids = F.when(F.col("pieces").isNull(), F.col("ids")).otherwise(fill("ids", F.col("pieces.piece")))
+    gap = F.posexplode_outer(_let(numbers, lambda n: F.transform("open", lambda w, k: F.when(F.get(n, k).isNull(), w))))
+    met = texts.select("row", gap.alias("at", "w")).where("w IS NOT NULL").join(folded.select("w", F.col("ids").alias("piece")), "w")
+    rare = met.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("at", "piece"))).alias("rare"))
+    whole = texts.select("row", "id", "ids", "gaps", numbers.alias("numbers")).join(rare, "row", "left")
+    known = _let(pieces, lambda p: F.transform("numbers", lambda n, k: F.when(n.isNull(), F.try_element_at("rare", k)).otherwise(F.get(p, n))))
+    ids = F.when(F.size("gaps") == 0, F.col("ids")).otherwise(fill("ids", "gaps", known))
     return whole.select(F.col("id").alias(id_col), F.coalesce(ids, F.array().cast("array<int>")).alias("ids"))
 
 
-def fill(ids: str, pieces: Column) -> Column:
-    """The array ``ids`` with its gaps filled by ``pieces`` in order, in time linear in both."""
-    gaps = F.filter(F.sequence(F.lit(0), F.size(ids)), lambda i: (F.get(ids, i) == F.lit(GAP)) | (i == F.size(ids)))
+def fill(ids: str, gaps: str, pieces: Column) -> Column:
+    """The array ``ids`` with the places ``gaps`` taken by ``pieces``, in time linear in all."""
 
-    def parts(at: Column, by: Column) -> Column:
+    def parts(by: Column) -> Column:
         def part(end: Column, k: Column) -> Column:
-            start = F.coalesce(F.get(at, k - 1) + 1, F.lit(0))
-            return F.concat(F.slice(ids, start + 1, end - start), F.coalesce(F.get(by, k), F.array().cast("array<int>")))
+            start = F.coalesce(F.get(gaps, k - 1) + 1, F.lit(0))
+            return F.concat(F.slice(ids, start + 1, end - start), F.get(by, k))
 
-        return F.flatten(F.transform(at, part))
+        last = F.element_at(gaps, -1)
+        return F.concat(F.flatten(F.transform(gaps, part)), F.slice(ids, last + 2, F.size(ids)))
 
-    return _let(pieces, lambda by: _let(gaps, lambda at: parts(at, by)))
+    return _let(pieces, parts)
 
 
 def decode(df: DataFrame, ids_col: str, out_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
