@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from metrikon import catalogue_folds as folds
 from metrikon import catalogue_sql as s
 from metrikon import catalogue_text
 from metrikon.functions import metrics as m
@@ -326,14 +327,13 @@ def _candidates(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def candidate_labels(spark: SparkSession, d: str) -> DataFrame:
-    c = _candidates(spark, d)
-    return c.select("query_id", "rank", F.size("candidates").alias("n"), F.get("candidates", F.lit(0)).alias("first"))
+    """All candidates in order; the retriever's name stands in the metadata as a text of the result."""
+    rows = read(spark, d, "retrieval_results").select(F.concat_ws("|", "run_id", "query_id").alias("query_id"), "rank", "doc_id", F.create_map(F.lit("chunk"), "retriever").alias("metadata")).dropDuplicates(["query_id", "rank"])
+    c = match.candidate_labels(rows, _corpus(spark, d))
+    return c.select("query_id", "rank", F.size("candidates").alias("n"), F.md5(F.array_join("candidates", "|")).alias("h"))
 
 
-SQL["candidate_labels"] = f"""WITH c AS (SELECT {s.norm('doc_id')} AS k, arg_max(text, loaded_at) AS t FROM document_examples WHERE {s.strip('text')} <> '' GROUP BY ALL),
-r AS (SELECT DISTINCT run_id || '|' || query_id AS query_id, rank, {s.norm('doc_id')} AS k FROM retrieval_results),
-x AS (SELECT query_id, rank, list_filter([r.k, {s.norm('c.t')}], lambda x: x IS NOT NULL AND x <> '') AS l FROM r LEFT JOIN c USING (k))
-SELECT query_id, rank, CAST(len(list_distinct(l)) AS INTEGER) AS n, l[1] AS first FROM x"""
+SQL["candidate_labels"] = f"WITH {folds.candidates('[' + s.norm('hit.retriever') + ']')} SELECT query_id, rank, CAST(len(l) AS INTEGER) AS n, md5(array_to_string(l, '|')) AS h FROM cand"
 
 
 def _judged_queries(spark: SparkSession, d: str) -> DataFrame:
@@ -346,14 +346,13 @@ def _judged_queries(spark: SparkSession, d: str) -> DataFrame:
 @query
 def contexts_cross(spark: SparkSession, d: str) -> DataFrame:
     q = _judged_queries(spark, d).withColumn("expected_answers", F.col("expected_doc_ids"))
-    return match.contexts(q, _candidates(spark, d)).groupBy("query_id").agg(F.count("*").alias("contexts"), F.count_distinct("label_pos").alias("labels"))
+    return match.contexts(q, _candidates(spark, d)).select("query_id", "rank", "label_pos", "cand_pos", F.md5("query").alias("query"), "expected_text", F.md5("retrieved_text").alias("retrieved"))
 
 
-SQL["contexts_cross"] = f"""WITH c AS (SELECT {s.norm('doc_id')} AS k, arg_max(text, loaded_at) AS t FROM document_examples WHERE {s.strip('text')} <> '' GROUP BY ALL),
-r AS (SELECT DISTINCT run_id || '|' || query_id AS query_id, query_id AS qid, rank, {s.norm('doc_id')} AS k FROM retrieval_results),
-x AS (SELECT query_id, any_value(qid) AS qid, sum(len(list_distinct(list_filter([r.k, {s.norm('c.t')}], lambda x: x IS NOT NULL AND x <> '')))) AS n FROM r LEFT JOIN c USING (k) GROUP BY query_id),
-g AS (SELECT query_id AS qid, any_value(len({s.ids('expected_doc_ids')})) AS labels FROM query_examples GROUP BY query_id)
-SELECT query_id, CAST(n * labels AS BIGINT) AS contexts, CAST(labels AS BIGINT) AS labels FROM x JOIN g USING (qid) WHERE labels > 0 AND n > 0"""
+SQL["contexts_cross"] = f"""WITH {folds.candidates()},
+g AS (SELECT query_id AS qid, any_value(query_text) AS qt, any_value({s.ordered_ids('expected_doc_ids')}) AS g FROM query_examples GROUP BY query_id),
+x AS (SELECT query_id, rank, l, qt, unnest(g) AS e, unnest(range(0, len(g))) AS i FROM cand JOIN g USING (qid))
+SELECT query_id, rank, CAST(i AS INTEGER) AS label_pos, CAST(c AS INTEGER) AS cand_pos, md5(qt) AS query, e AS expected_text, md5(r) AS retrieved FROM (SELECT *, unnest(l) AS r, unnest(range(0, len(l))) AS c FROM x)"""
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -409,31 +408,42 @@ SQL["judge_cosine"] = f"WITH {s.vectors()} SELECT query_id, doc AS doc_id, score
 
 @query
 def judge_llm_parse(spark: SparkSession, d: str) -> DataFrame:
-    reply = F.element_at(F.array(*map(F.lit, ("Yes, it does", " no.", "It is a match", "irrelevant", "The claim is correct", "Nothing"))), (F.col("event_id") % 6 + 1).cast("int"))
-    return read(spark, d, "events").select("event_id", judges.parse_relevance(reply).alias("relevant"))
+    """Replies of many kinds before the answers of the table, which hold further words."""
+    begins = ("Yes, ", " no. ", "It is a match: ", "irrelevant ", "correct or incorrect: ", "", "TRUE ", "Nothing accurate. ")
+    e = read(spark, d, "generated_examples").select("query_id", "query_text", "expected_answer").dropDuplicates(["query_id"])
+    n = F.length(F.coalesce("query_text", F.lit(""))) % len(begins)
+    reply = F.concat(F.get(F.array(*map(F.lit, begins)), n), F.col("expected_answer"))
+    return e.select("query_id", judges.parse_relevance(reply).alias("relevant"))
 
 
-SQL["judge_llm_parse"] = "SELECT event_id, [true, false, true, false, true, false][event_id % 6 + 1] AS relevant FROM events"
+SQL["judge_llm_parse"] = """WITH e AS (SELECT query_id, any_value(coalesce(query_text, '')) AS q, any_value(expected_answer) AS a FROM generated_examples GROUP BY query_id),
+r AS (SELECT query_id, lower(trim(coalesce(['Yes, ', ' no. ', 'It is a match: ', 'irrelevant ', 'correct or incorrect: ', '', 'TRUE ', 'Nothing accurate. '][length(q) % 8 + 1] || a, ''))) AS t FROM e)
+SELECT query_id, CASE WHEN starts_with(t, 'yes') THEN true WHEN starts_with(t, 'no') THEN false ELSE regexp_matches(t, 'relevant|match|correct|accurate|true') AND NOT regexp_matches(t, 'irrelevant|mismatch|incorrect|inaccurate|false') END AS relevant FROM r"""
 
 
 @query
 def judge_llm_prompt(spark: SparkSession, d: str) -> DataFrame:
     made = judges.relevance_prompt(F.coalesce("query", F.lit("")), F.coalesce("expected_text", F.lit("")), F.coalesce("retrieved_text", F.lit("")))
-    return _pairs(spark, d).select("query_id", F.length(made).alias("chars"))
+    return _pairs(spark, d).select("query_id", F.md5(made).alias("h"))
 
 
-SQL["judge_llm_prompt"] = f"WITH {s.PAIRS} SELECT query_id, CAST(length(q) + length(e) + length(r) + {len('Question asked: Text that would answer it: Text that was found: Does the text that was found say the same as the text that would answer the question? Wording does not count. Reply YES or NO.') + 3} AS INTEGER) AS chars FROM pairs_"
+SQL["judge_llm_prompt"] = f"""WITH {s.PAIRS} SELECT query_id, md5('Question asked: ' || q || chr(10) || 'Text that would answer it: ' || e || chr(10) || 'Text that was found: ' || r || chr(10) ||
+'Does the text that was found say the same as the text that would answer the question? Wording does not count. Reply YES or NO.') AS h FROM pairs_"""
 
 
 @query
 def greedy_label_assignment(spark: SparkSession, d: str) -> DataFrame:
-    """Labels taken by rank where gold ids are matched as labels."""
+    """Labels taken by rank, with conflicts: a result fits every gold id with its last character."""
     rows = _runs_labelled(spark, d).withColumn("expected", m.texts(F.col("expected")))
-    options = F.transform("retrieved", lambda r: F.filter(F.transform(F.col("expected"), lambda e, i: F.when(e == r, i).otherwise(F.lit(-1))), lambda i: i >= 0))
-    return rows.select("run_id", "query_id", match.assign_labels(options).alias("taken")).select("run_id", "query_id", F.size(F.filter("taken", lambda t: t >= 0)).alias("assigned"), F.array_position(F.transform("taken", lambda t: t >= 0), F.lit(True)).alias("first"))
+    end = lambda c: F.substring(c, -1, 1)
+    options = F.transform("retrieved", lambda r: F.filter(F.transform(F.col("expected"), lambda e, i: F.when(end(e) == end(r), i).otherwise(F.lit(-1))), lambda i: i >= 0))
+    return rows.select("run_id", "query_id", F.array_join(match.assign_labels(options), ",").alias("taken"))
 
 
-SQL["greedy_label_assignment"] = f"""WITH {s.RUNS}, {s.metrics(1000)} SELECT run_id, qid AS query_id, CAST(round(recall * n) AS INTEGER) AS assigned, CAST(CASE WHEN mrr > 0 THEN round(1 / mrr) ELSE 0 END AS BIGINT) AS first FROM m"""
+SQL["greedy_label_assignment"] = f"""WITH RECURSIVE {s.RUNS}, gl AS (SELECT qs.query_id, {s.ordered_ids('g0.g')} AS g FROM qs LEFT JOIN g0 ON g0.query_id = qs.qid),
+opts AS (SELECT run.query_id, run.rank, [CAST(i AS INTEGER) for i in range(0, len(gl.g)) if right(gl.g[i + 1], 1) = right(run.doc, 1)] AS o FROM run JOIN gl USING (query_id)),
+{folds.greedy('opts')}
+SELECT run_id, qid AS query_id, string_agg(CAST(coalesce(taken, -1) AS VARCHAR), ',' ORDER BY took.rank) AS taken FROM took JOIN qs USING (query_id) GROUP BY run_id, qid"""
 
 
 @query
@@ -453,5 +463,6 @@ def evaluate_mixed(spark: SparkSession, d: str) -> DataFrame:
     return m.summary(labelled, [m.Recall(10), m.NDCG(10)]).withColumn("score", _six(F.col("score")))
 
 
+SQL["evaluate_judged"], SQL["evaluate_mixed"] = folds.JUDGED, folds.MIXED
 QUERIES.update(catalogue_text.QUERIES)
 SQL.update(catalogue_text.SQL)

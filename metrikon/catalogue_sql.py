@@ -35,6 +35,12 @@ def ids(x: str) -> str:
     return f"list_distinct(list_filter(list_transform(coalesce({x}, []), lambda t: {norm('t')}), lambda t: t IS NOT NULL AND t <> ''))"
 
 
+def ordered_ids(x: str) -> str:
+    """As ``ids``, in order of first appearance."""
+    every = ids(x).removeprefix("list_distinct(").removesuffix(")")
+    return f"list_filter({every}, lambda y, i: list_position({every}, y) = i)"
+
+
 STOP, NEG = q(STOPWORDS), q(NEGATIONS)
 
 

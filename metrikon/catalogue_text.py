@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from metrikon import catalogue_folds as folds
 from metrikon import catalogue_sql as s
 from metrikon.functions import text
 from metrikon.operators import chunk, generate
@@ -91,11 +92,12 @@ SELECT doc_id, CAST(pos AS INTEGER) AS pos, md5(CASE WHEN tail IS NOT NULL AND N
 @query
 def chunk_ids_uuid5(spark: SparkSession, d: str) -> DataFrame:
     rows = read(spark, d, "generated_chunks").where("text IS NOT NULL AND chunk_index IS NOT NULL").select("doc_id", "source", "chunk_index", "text").distinct()
-    return rows.select("doc_id", chunk.chunk_id(F.coalesce("source", F.lit("")), F.col("chunk_index"), F.col("chunk_index"), F.col("text")).alias("id"))
+    document = F.length("text") % 97  # some number that is not the chunk's
+    return rows.select("doc_id", chunk.chunk_id(F.coalesce("source", F.lit("")), document, F.col("chunk_index"), F.col("text")).alias("id"))
 
 
-_NAME = "coalesce(nullif(regexp_extract(regexp_replace(coalesce(source, ''), '^[A-Za-z]:', ''), '([^/\\\\]*)[/\\\\]*$', 1), ''), 'document_' || chunk_index)"
-SQL["chunk_ids_uuid5"] = f"WITH r AS (SELECT DISTINCT doc_id, {_NAME} || chr(10) || chunk_index || chr(10) || chunk_index || chr(10) || {s.collapse('text')} AS name FROM generated_chunks WHERE text IS NOT NULL AND chunk_index IS NOT NULL) SELECT doc_id, {s.uuid5('name')} AS id FROM r"
+_NAME = "coalesce(nullif(regexp_extract(regexp_replace(coalesce(source, ''), '^[A-Za-z]:', ''), '([^/\\\\]*)[/\\\\]*$', 1), ''), 'document_' || length(text) % 97)"
+SQL["chunk_ids_uuid5"] = f"WITH r AS (SELECT DISTINCT doc_id, {_NAME} || chr(10) || length(text) % 97 || chr(10) || chunk_index || chr(10) || {s.collapse('text')} AS name FROM generated_chunks WHERE text IS NOT NULL AND chunk_index IS NOT NULL) SELECT doc_id, {s.uuid5('name')} AS id FROM r"
 
 
 def _sources(spark: SparkSession, d: str) -> DataFrame:
@@ -134,10 +136,15 @@ def merge_short_chunks(spark: SparkSession, d: str) -> DataFrame:
 @query
 def generation_prompts(spark: SparkSession, d: str) -> DataFrame:
     rows = read(spark, d, "generated_chunks").select("doc_id", "metadata", "text").where("text IS NOT NULL").dropDuplicates(["doc_id"])
-    return rows.select("doc_id", (F.length(generate.prompt(F.col("doc_id"), F.create_map().cast("map<string,string>"), F.col("text"))) - F.length("text")).alias("frame"))
+    return rows.select("doc_id", F.md5(generate.prompt(F.col("doc_id"), F.col("metadata"), F.col("text"))).alias("h"))
 
 
-SQL["generation_prompts"] = "SELECT DISTINCT doc_id, CAST(length(doc_id) + 500 AS INTEGER) AS frame FROM generated_chunks WHERE text IS NOT NULL"
+# Fixed value: the request, with its kinds and fields written out.
+_ASK = """
+
+Write 6 questions that test whether a search system finds the passage above. Spread them over these kinds: direct_fact, paraphrase, keyword_search, specific_detail, broad_summary, out_of_context. Copy each answer word for word from the passage; a question of kind out_of_context fits the subject, is not answered by the passage and has an empty answer. Reply with nothing but a JSON array of objects with the fields "category", "query_text" and "expected_answer"."""
+_META = "CASE WHEN metadata IS NULL THEN '{}' ELSE '{' || array_to_string([to_json(x.key)::VARCHAR || ':' || to_json(x.value)::VARCHAR for x in list_sort(map_entries(metadata)) if x.value IS NOT NULL], ',') || '}' END"
+SQL["generation_prompts"] = f"SELECT doc_id, md5('Passage id: ' || doc_id || chr(10) || 'Metadata: ' || any_value({_META}) || chr(10) || 'Passage:' || chr(10) || any_value(text) || '{_ASK}') AS h FROM generated_chunks WHERE text IS NOT NULL GROUP BY doc_id"
 
 
 def _responses(spark: SparkSession, d: str) -> DataFrame:
@@ -182,6 +189,9 @@ SQL["generation_dedupe"] = f"WITH {_VALID}, f AS (SELECT query_id FROM ok QUALIF
 SQL["generated_to_dataset"] = f"WITH {_G} SELECT query_id, CAST(gold AS INTEGER) AS gold, CAST({s.strip('expected_answer')} <> '' AS INTEGER) AS answers FROM g"
 
 
+SQL["chunk_paragraphs"], SQL["chunk_sentences"], SQL["merge_short_chunks"], SQL["markdown_sections"] = folds.PARAGRAPHS, folds.SENTENCES, folds.MERGED, folds.SECTIONS
+
+
 def _written(spark: SparkSession, content: list[str]) -> str:
     path = f"{shared_dir(spark)}/metrikon/file-{uuid.uuid4().hex}"
     spark.createDataFrame([("\n".join(content),)], "value string").coalesce(1).write.text(path)
