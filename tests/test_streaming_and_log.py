@@ -5,10 +5,12 @@ import logging
 import pytest
 
 from metrikon import log
+from metrikon.functions import metrics as m
+from metrikon.operators.match import label_by_ids
 from metrikon.operators.order import numbered
 from metrikon.schema import ValidationError
 from metrikon.sources.tables import read_table, write_table
-from metrikon.streaming.reevaluate import windowed_hits
+from metrikon.streaming.reevaluate import reevaluate, windowed_hits
 
 
 def test_windows(spark, tmp_path):
@@ -23,6 +25,20 @@ def test_windows(spark, tmp_path):
     assert got == [(1, "a", 2, 1), (1, "b", 1, 0), (2, "a", 1, 1)]
 
 
+def test_runs_of_a_batch_are_scored_together(spark, tmp_path):
+    queries = spark.createDataFrame([("q1", ["a", "b"]), ("q2", ["c"]), ("q3", [])], "query_id string, expected_doc_ids array<string>")
+    rows = [("r1", "q1", 1, "A "), ("r1", "q1", 2, "x"), ("r1", "q2", 1, "x"), ("r1", "q2", 2, "c"), ("r2", "q1", 1, "b"), ("r2", "q1", 1, "b"), ("r2", "q1", 2, "a"), ("r2", "q9", 1, "a")]
+    src = str(tmp_path / "in")
+    schema = "run_id string, query_id string, rank int, doc_id string"
+    spark.createDataFrame(rows, schema).write.parquet(src)
+    for _ in range(2):  # nothing new: the second start adds nothing
+        reevaluate(spark.readStream.schema(schema).parquet(src), queries, [m.Recall(2), m.MRR(2)], str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = {(r["run_id"], r["metric"]): (r["score"], r["query_count"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {("r1", "recall@2"): (0.5, 3), ("r1", "mrr@2"): (0.5, 3), ("r2", "recall@2"): (pytest.approx(1 / 3), 3), ("r2", "mrr@2"): (pytest.approx(1 / 3), 3)}
+    one = {(r["metric"], r["score"]) for r in m.summary(label_by_ids(queries, spark.createDataFrame(rows, schema).where("run_id = 'r1'"), 2), [m.Recall(2), m.MRR(2)]).collect()}
+    assert one == {("recall@2", 0.5), ("mrr@2", 0.5)}
+
+
 @pytest.mark.parametrize("kind", ["parquet", "orc", "json", "csv"])
 def test_tables(spark, tmp_path, kind):
     df = spark.createDataFrame([("recall@5", 0.5), ("mrr@5", 0.25)], "metric string, score double")
