@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,11 +54,12 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release_staged() -> None:
-    """Delete what ``staged`` wrote. Call it when the results that read it have been consumed."""
+def release_staged(paths: list[str] | None = None) -> None:
+    """Delete what ``staged`` wrote, all of it or these paths. Call it when the results that read it have been consumed."""
     spark = SparkSession.getActiveSession()
-    while _STAGED:
-        path = _STAGED.pop()
+    for path in list(_STAGED) if paths is None else paths:
+        if path in _STAGED:
+            _STAGED.remove(path)
         try:
             if spark is not None:
                 _delete(spark, path)
@@ -64,6 +67,16 @@ def release_staged() -> None:
             pass
 
 
+@contextmanager
+def staging() -> Iterator[None]:
+    """What is staged inside is deleted at the end, and nothing else: other results that are still read keep their tables."""
+    before = set(_STAGED)
+    try:
+        yield
+    finally:
+        release_staged([p for p in _STAGED if p not in before])
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One table of the test data; the parquet scan stays open to pruning and pushdown."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -4,7 +4,7 @@ import logging
 
 import pytest
 
-from metrikon import log
+from metrikon import log, session
 from metrikon.functions import metrics as m
 from metrikon.operators.match import label_by_ids
 from metrikon.operators.order import numbered
@@ -49,6 +49,16 @@ def test_tables(spark, tmp_path, kind):
         read_table(spark, "x", "xml")
 
 
+def test_staged_tables_go_with_their_scope(spark):
+    kept = session.staged(spark.range(3), "kept")
+    with session.staging():
+        gone = session.staged(spark.range(4), "gone")
+        assert gone.count() == 4
+    assert kept.count() == 3
+    with pytest.raises(Exception, match="exist|not found|NOT_EXIST"):
+        gone.count()
+
+
 def test_global_order(spark):
     df = spark.range(500).selectExpr("(id * 37) % 500 AS k", "id % 3 AS s").repartition(6)
     rows = sorted((r["k"], r["n"], r["total"]) for r in numbered(numbered(df, ["k"], "n"), ["k"], "total", "s").collect())
