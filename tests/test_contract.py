@@ -9,7 +9,7 @@ import types
 import pytest
 
 from metrikon.functions import metrics as m
-from metrikon.operators import chunk, generate, judges, providers
+from metrikon.operators import chunk, generate, judges, providers, retrieve
 from metrikon.plans.evaluate import EvaluationResults
 from metrikon.schema import MissingDependencyError, ValidationError
 from metrikon.sources import datasets, stores
@@ -141,3 +141,22 @@ def test_generated_dataset_as_dict(spark):
     assert d["documents"] == [{"doc_id": "c1", "text": "It is here.", "metadata": {"a": "b"}}]
     assert d["queries"][0] == {"query_id": "q1", "query_text": "Where?", "expected_answers": ["here"], "category": "direct_fact", "expected_context": "It is here.", "expected_doc_ids": ["c1"]}
     assert d["queries"][1]["expected_answers"] == []
+
+
+@pytest.mark.parametrize("cells, block", [(1, 2), (50, 3), (4_000_000, 2048)])
+def test_lexical_against_brute_force(spark, cells, block):
+    import random
+
+    r = random.Random(cells)
+    words = [f"w{i}" for i in range(30)]
+    docs = [(i, " ".join(r.choice(words) for _ in range(r.randrange(0, 12)))) for i in range(80)] + [(90, None), (91, "")]
+    asked = [(i, " ".join(r.choice(words) for _ in range(r.randrange(0, 6)))) for i in range(7)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    q = spark.createDataFrame(asked, "query_id long, query_text string")
+    got = sorted((x["query_id"], x["rank"], x["doc_id"], x["score"]) for x in retrieve.lexical_topk(df, q, 5, block=block, cells=cells).collect())
+    want = []
+    for i, text in asked:
+        t = set(text.split())
+        shares = sorted((-len(t & set((d or "").split())) / len(t), j) for j, d in docs if t & set((d or "").split())) if t else []
+        want += [(i, n, j, round(-s, 6)) for n, (s, j) in enumerate(shares[:5], 1)]
+    assert got == sorted(want)
