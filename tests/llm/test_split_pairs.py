@@ -171,3 +171,32 @@ def test_limits_of_any_length(spark):
 def test_length_limit(spark):
     df = spark.createDataFrame([(n,) for n in range(1, 60) for _ in range(3)] + [(37,)] * 80, "n int")
     assert pairs.length_limits(df) == [37]
+
+
+PAIR = "query_id string, query_text string, category string, expected_answer string, expected_context string"
+
+
+@pytest.mark.parametrize("limit", [0, 100_000])
+def test_rare_words_of_a_language_count_in_all_rows(spark, limit):
+    """Words of three rows among 9,000: an answer made of them alone is of their language, wherever the rows stand."""
+    rows = [(f"q{i}", Q, "direct_fact", "for 40 days", CONTEXT) for i in range(9000)]
+    rare = [[f"{a}{b}korn" for b in "bdf"] for a in ("ma", "me", "mi", "mo", "mu", "la")]
+    for n, words in enumerate(rare):
+        rows += [(f"r{n}{i}", "Wer ist das?", "direct_fact", "das ist er", f"Die Mühle ist alt und das ist er mit der {' und '.join(words)} von dem Haus.") for i in range(3)]
+        rows.append((f"d{n}", Q, "direct_fact", " ".join(words).capitalize() + " dort.", CONTEXT))
+    df = spark.createDataFrame(rows, PAIR)
+    got = {(r["query_id"], r["defect"], r["evidence"]) for r in pairs.defective_pairs(df, broadcast_rows=limit, salts=3).collect()}
+    assert got == {(f"d{n}", "other_language", "de for en") for n in range(len(rare))}
+
+
+@pytest.mark.parametrize("held", [10, 200_000])
+def test_lexicon_holds_every_word(spark, held):
+    """More than 20,000 words, of three rows each; no word of two rows or of two languages."""
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    words = ["q" + name(i) for i in range(21_000)]
+    german = "der die das und ist nicht mit von " + " ".join(words) + " zweisprachig"
+    english = "the of to and is are for with zweisprachig"
+    rows = [("a", "selten", None, None, german), ("b", "selten", None, None, german), (None, "wort", None, None, german)] + [(f"e{i}", "wort", None, None, english) for i in range(3)]
+    got = {r["word"]: (r["language"], r["share"]) for r in pairs.learn_lexicon(spark.createDataFrame(rows, PAIR).repartition(3), held=held).collect()}
+    assert all(got[w] == ("de", pytest.approx(0.8)) for w in words) and got["the"] == ("en", pytest.approx(0.8))
+    assert not {"selten", "zweisprachig", "wort"} & set(got)
